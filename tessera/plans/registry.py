@@ -1,5 +1,5 @@
 """The modules that register queries: each has ``QUERIES`` and ``SQL``."""
 
-from tessera.plans import data_quality, places, semi_structured
+from tessera.plans import analytics, data_quality, places, semi_structured
 
-MODULES = (data_quality, places, semi_structured)
+MODULES = (analytics, data_quality, places, semi_structured)
