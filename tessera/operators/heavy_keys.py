@@ -93,11 +93,6 @@ def heavy_keys(df: DataFrame, keys: Mapping[str, Column], value: Column, share:
 
     All rows of ``df`` count in the whole, those without a key too.
     """
-    weighted = compress(df, keys, value)
-    whole = weighted.groupBy("field").agg(F.sum("weight").alias("whole"))  # one row per field
-    return (
-        key_totals(weighted)
-        .join(F.broadcast(whole), "field")
-        .where(F.col("key_value").isNotNull() & (F.col("n_rows") >= F.lit(share) * F.col("whole")))
-        .select("field", "key_value", "n_rows")
-    )
+    whole = df.agg(F.count(F.lit(1))).scalar()  # reads no column
+    totals = key_totals(compress(df, keys, value))
+    return totals.where(F.col("key_value").isNotNull() & (F.col("n_rows") >= F.lit(share) * whole)).select("field", "key_value", "n_rows")
