@@ -63,11 +63,15 @@ class Clustering:
 
 
 def _kmeans(points: DataFrame, k: int, seed: int, materialize: Materialize) -> DataFrame:
-    """``id, features, cluster`` by k-means."""
+    """``id, features, cluster`` by k-means, of at most as many clusters as there are different points."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    ready = materialize(points.select("id", "features")).withColumn("v", array_to_vector("features"))
+    ready = materialize(points.select("id", "features"))
+    k = min(k, ready.select("features").distinct().limit(k).count())
+    if k < 2:  # the library wants two
+        return ready.withColumn("cluster", F.lit(0).cast("bigint"))
+    ready = ready.withColumn("v", array_to_vector("features"))
     model = KMeans(k=k, seed=seed, featuresCol="v", predictionCol="cluster", maxIter=10).fit(ready)
     return materialize(model.transform(ready).select("id", "features", F.col("cluster").cast("bigint").alias("cluster")))
 
@@ -106,7 +110,7 @@ def bfr(points: DataFrame, n_clusters: int, materialize: Materialize, *, chunks:
                 points = materialize(points.withColumn("chunk", F.when(F.col("chunk") == number, number + 1).otherwise(F.col("chunk"))))
                 rounds.append((number, 0, 0, 0, 0))
                 continue
-            several, alone = _split_singles(_kmeans(chunk, max(2, min(first_k, n - 1)), seed, materialize))
+            several, alone = _split_singles(_kmeans(chunk, max(2, min(first_k, n // 5)), seed, materialize))
             if several.isEmpty():
                 several, alone = chunk, alone.where(F.lit(False))
             placed = _kmeans(several, max(2, n_clusters), seed, materialize)
