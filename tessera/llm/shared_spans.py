@@ -9,7 +9,7 @@ in more than one text, and runs are compacted from time to time.
 
 Anchors with such a fingerprint are verified.  The stretch of all windows that
 share an anchor is compared as a whole first; texts that repeat it as a whole
-need one row for some 75 windows.  Where stretches of one fingerprint differ,
+need one row for some 50 windows.  Where stretches of one fingerprint differ,
 as at the ends of a repeated passage, one stretch of each kind is compared
 window by window.  No step forms pairs of texts, so that a passage in very many
 texts costs one row for each.
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from tessera.session import worker_cache
 
-WINDOW, GRAM = 200, 50
+WINDOW = 200
+#: Half a window: shorter grams recur by chance in texts that share nothing longer, and each such anchor must be verified window by window.
+GRAM = WINDOW // 2
 #: Characters hashed at once; longer texts are taken in overlapping segments.
 CHARS_AT_ONCE = 200_000
 #: Runs of one level that are compacted into one of the next.
