@@ -130,13 +130,16 @@ def _cell_index(x: np.ndarray, level: np.ndarray) -> np.ndarray:
     return np.clip(np.floor((x + 1) / 2 * side).astype(np.int64), 0, np.minimum(side - 1, (1 << MAX_LEVEL) - 1))
 
 
-def triangle_cells(triangles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def triangle_cells(triangles: np.ndarray, per_region: int) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and cell codes: each triangle in the cells that its box meets.
 
-    The level is the finest whose cells are four times the size of the box.
+    The level is the finest whose cells are four times the size of the largest
+    box of the region, of ``per_region`` triangles in a row.  With one level for
+    all of its triangles a point meets a region in one cell only.
     """
     low, high = _boxes(triangles)
     size = np.maximum((high - low).max(axis=1), 1e-12)
+    size = np.repeat(size.reshape(-1, per_region).max(axis=1), per_region)
     level = np.clip(np.floor(np.log2(2 / size)).astype(np.int64) - 2, 0, MAX_LEVEL)
     first, last = _cell_index(low, level), _cell_index(high, level)
     rows, codes = [], []
@@ -250,7 +253,7 @@ def _placed(names: list | pa.Array, corners: np.ndarray) -> pa.RecordBatch:
     """Triangles of equally large polygons, with the cells they go to."""
     parts = ear_clip(corners)
     triangles = corners[np.arange(len(corners))[:, None, None], parts].reshape(-1, 3, 3)
-    rows, cells = triangle_cells(triangles)
+    rows, cells = triangle_cells(triangles, parts.shape[1])
     ids = pa.array(names, pa.string()).take(pa.array(rows // parts.shape[1]))
     return pa.RecordBatch.from_arrays([ids, pa.array(cells), _as_shapes(triangles[rows].reshape(-1, 9))], names=["region_id", "cell", "shape"])
 
@@ -350,7 +353,7 @@ def within_regions(triangles: DataFrame, places: DataFrame, materialize: Callabl
     triangles = materialize(triangles)
     levels = sorted(r[0] for r in triangles.select(F.shiftright("cell", 57)).distinct().collect())  # at most MAX_LEVEL + 1 numbers
     if not levels:
-        return triangles.select("region_id", F.lit("").alias("id")).where(F.lit(False))
+        return triangles.select("region_id", F.col("region_id").alias("id"))  # no rows
     points = point_cells(places, levels)
     sizes = (
         points.select("cell", F.lit(1).alias("p"), F.lit(0).alias("t")).unionByName(triangles.select("cell", F.lit(0).alias("p"), F.lit(1).alias("t")))
@@ -377,9 +380,12 @@ def near_pairs(places: DataFrame, metres: float, materialize: Callable[[DataFram
     """
     places = materialize(places.where(has_place(F.col("lat"), F.col("lon")) & F.col("id").isNotNull()).select("id", "lat", "lon"))
     # the place itself rides along in the name, so that the distance test needs no join
-    named = places.select(F.concat_ws("\x1f", "id", F.col("lat").cast("string"), F.col("lon").cast("string")).alias("id"), "lat", "lon")
-    pairs = within_regions(circle_triangles(named, metres), named, materialize).where(F.col("region_id") < F.col("id"))
-    one, two = F.split("region_id", "\x1f"), F.split("id", "\x1f")
-    parts = pairs.select(one[0].alias("id_1"), two[0].alias("id_2"), *(F.radians(x[i].cast("double")).alias(n) for x, i, n in ((one, 1, "a1"), (one, 2, "o1"), (two, 1, "a2"), (two, 2, "o2"))))
+    named = places.select(F.concat_ws(" ", F.col("lat").cast("string"), F.col("lon").cast("string"), "id").alias("id"), "lat", "lon")
+    pairs = within_regions(circle_triangles(named, metres), named, materialize)
+    parts = pairs.select(*(F.split(c, " ", 3).alias(n) for c, n in (("region_id", "one"), ("id", "two"))))
+    parts = parts.select(
+        *(F.get(n, F.lit(2)).alias(f"id_{i}") for i, n in ((1, "one"), (2, "two"))),
+        *(F.radians(F.get(n, F.lit(k)).cast("double")).alias(f"{c}{i}") for i, n in ((1, "one"), (2, "two")) for k, c in enumerate(("a", "o"))),
+    ).where(F.col("id_1") < F.col("id_2"))
     h = F.pow(F.sin((F.col("a2") - F.col("a1")) / 2), 2) + F.cos("a1") * F.cos("a2") * F.pow(F.sin((F.col("o2") - F.col("o1")) / 2), 2)
     return parts.where(2 * EARTH_RADIUS * F.asin(F.sqrt(F.least(F.lit(1.0), h))) <= metres).select("id_1", "id_2")
