@@ -10,27 +10,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
-_TEXT_MAP = T.MapType(T.StringType(), T.StringType())
+_STRING, _LONG, _DOUBLE = T.StringType(), T.LongType(), T.DoubleType()
+_TEXT_MAP = T.MapType(_STRING, _STRING)
 _COMPLIMENTS = ("hot", "cute", "cool", "funny", "photos", "more", "profile", "list", "note", "plain", "writer")
 
+
+def _schema(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
+
+
 #: Schemas of the JSON-lines inputs.
 SCHEMAS: dict[str, T.StructType] = {
-    "review": T.StructType.fromDDL("review_id string, user_id string, business_id string, stars double, date timestamp_ntz"),
-    "business": T.StructType.fromDDL("business_id string, city string, stars double, review_count bigint")
-    .add("attributes", _TEXT_MAP).add("categories", "string").add("hours", _TEXT_MAP).add("latitude", "double").add("longitude", "double"),
-    "tip": T.StructType.fromDDL("business_id string, text string, likes bigint"),
-    "photo": T.StructType.fromDDL("business_id string"),
-    "checkin": T.StructType.fromDDL("business_id string, time map<string, bigint>"),
-    "user": T.StructType.fromDDL(
-        "user_id string, average_stars double, review_count bigint, yelping_since string, elite string, friends string, useful bigint, funny bigint, cool bigint, "
-        + ", ".join(f"compliment_{c} bigint" for c in _COMPLIMENTS)
+    "review": _schema(review_id=_STRING, user_id=_STRING, business_id=_STRING, stars=_DOUBLE, date=T.TimestampNTZType()),
+    "business": _schema(
+        business_id=_STRING, city=_STRING, stars=_DOUBLE, review_count=_LONG, attributes=_TEXT_MAP, categories=_STRING, hours=_TEXT_MAP, latitude=_DOUBLE, longitude=_DOUBLE,
+    ),
+    "tip": _schema(business_id=_STRING, text=_STRING, likes=_LONG),
+    "photo": _schema(business_id=_STRING),
+    "checkin": _schema(business_id=_STRING, time=T.MapType(_STRING, _LONG)),
+    "user": _schema(
+        user_id=_STRING, average_stars=_DOUBLE, review_count=_LONG, yelping_since=_STRING, elite=_STRING, friends=_STRING, useful=_LONG, funny=_LONG, cool=_LONG,
+        **{f"compliment_{c}": _LONG for c in _COMPLIMENTS},
     ),
 }
 #: Schemas of the headered CSV inputs.
-CSV_SCHEMAS = {
-    "ratings": T.StructType.fromDDL("user_id string, business_id string, stars double"),
-    "baskets": T.StructType.fromDDL("user_id string, business_id string"),
-}
+CSV_SCHEMAS = {"ratings": _schema(user_id=_STRING, business_id=_STRING, stars=_DOUBLE), "baskets": _schema(user_id=_STRING, business_id=_STRING)}
 
 
 def read_json_lines(spark: SparkSession, path: str, kind: str, columns: list[str] | None = None) -> DataFrame:
