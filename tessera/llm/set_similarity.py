@@ -100,9 +100,8 @@ class InvertedLists:
         low, high = bisect_left(self.sizes, size), bisect_left(self.sizes, math.floor(size / threshold + _SLACK) + 1)
         if low == high:
             return
-        at = np.searchsorted(self.tokens, probe)
-        at = at[at < len(self.tokens)]
-        at = at[np.isin(self.tokens[at], probe, assume_unique=True)]
+        at = np.minimum(np.searchsorted(self.tokens, probe), len(self.tokens) - 1)
+        at = at[self.tokens[at] == probe]
         needed = least_overlap(size, self.sizes[low], threshold)
         lists = []
         for i in at:
