@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.baskets import BASKET_SQL, basket_key
 from tessera.functions.keys import clean_key
-from tessera.llm.cooccurrence import basket_key, item_pairs
+from tessera.llm.cooccurrence import item_pairs
 from tessera.llm.packing import pack
 from tessera.llm.set_similarity import similar_pairs
 from tessera.llm.shared_spans import shared_spans
@@ -88,14 +89,11 @@ def p10_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_lift, p8_ids, p8_decoded, p8_offsets, p9_containers, p9_fill, p10_found, p10_coverage)}
 
-_BASKETS = r"""
+_BASKETS = rf"""
 WITH bare AS (
   SELECT translate(date_customer_id, E'"'' \t\r\n', '') AS t, product_id FROM customer_product
 ), once AS (
-  SELECT DISTINCT product_id AS item, CASE
-    WHEN regexp_full_match(t, '\d{1,2}/\d{1,2}/\d{4}-\d+') THEN regexp_extract(t, '/(\d{4})-', 1) || lpad(regexp_extract(t, '^(\d+)/', 1), 2, '0') || lpad(regexp_extract(t, '/(\d{1,2})/', 1), 2, '0') || '-' || regexp_extract(t, '-0*(\d+)$', 1)
-    WHEN regexp_full_match(t, '\d{4}-\d{1,2}-\d{1,2}-\d+') THEN t[1:4] || lpad(regexp_extract(t, '^\d{4}-(\d+)-', 1), 2, '0') || lpad(regexp_extract(t, '^\d{4}-\d+-(\d+)-', 1), 2, '0') || '-' || regexp_extract(t, '-0*(\d+)$', 1)
-    ELSE t END AS basket
+  SELECT DISTINCT product_id AS item, {BASKET_SQL} AS basket
   FROM bare WHERE t <> '' AND product_id IS NOT NULL
 ), n AS (SELECT count(DISTINCT basket) AS n FROM once),
 item AS (SELECT item, count(*) AS c FROM once GROUP BY 1),

@@ -13,7 +13,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import set_similarity, shared_spans, tokens
-from tessera.llm.cooccurrence import basket_key, item_pairs
+from tessera.functions.baskets import basket_key
+from tessera.llm.cooccurrence import item_pairs
 from tessera.llm.packing import fill_plan, pack, reciprocal_bound
 from tessera.session import materialize
 
@@ -130,7 +131,7 @@ def test_basket_keys(spark):
     same = ["11/1/2016-123", "11/01/2016 - 00000123", ' "11/01/2016"-"0123" ', "2016-11-01-123", "2016-11-1-0123", "'11/1/2016'-'123'"]
     df = spark.createDataFrame([(t,) for t in [*same, None, "", ' "" ', "1/11/2016-123", "odd", "11/1/2016-0"]], "t string")
     keys = [r[0] for r in df.select(basket_key(F.col("t"))).collect()]
-    assert keys[:6] == ["20161101-123"] * 6 and keys[6:] == [None, None, None, "20160111-123", "odd", "20161101-0"] or keys[11] in ("20161101-", "20161101-0")
+    assert keys[:6] == ["20161101-123"] * 6 and keys[6:] == [None, None, None, "20160111-123", "odd", "20161101-0"]
 
 
 def test_pairs_against_brute_force(spark):
