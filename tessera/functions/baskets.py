@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_US, _ISO = r"^(\d{1,2})/(\d{1,2})/(\d{4})-0*(\d+)$", r"^(\d{4})-(\d{1,2})-(\d{1,2})-0*(\d+)$"
+_MARKS = "\"' \t\r\n"
 
 
 def basket_key(text: Column) -> Column:
@@ -15,13 +15,34 @@ def basket_key(text: Column) -> Column:
     ``month/day/year`` or ``year-month-day``.  Any other text stands for itself;
     null, and a text of nothing but quotes and blanks, is no basket.
     """
-    bare = F.translate(text, "\"' \t\r\n", "")
 
-    def built(pattern: str, year: int, month: int, day: int) -> Column:
-        part = lambda i: F.regexp_extract(bare, pattern, i)
-        return F.concat(part(year), F.lpad(part(month), 2, "0"), F.lpad(part(day), 2, "0"), F.lit("-"), part(4))
+    def built(bare: Column) -> Column:
+        shape = F.translate(bare, "0123456789", "")
+        part = lambda text, mark, n: F.substring_index(F.substring_index(text, mark, n), mark, -1)
+        two = lambda x: F.lpad(x, 2, "0")
 
-    return F.nullif(F.when(bare.rlike(_US), built(_US, 3, 1, 2)).when(bare.rlike(_ISO), built(_ISO, 1, 2, 3)).otherwise(bare), F.lit(""))
+        def dated(year: Column, month: Column, day: Column, customer: Column) -> Column:
+            sound = (F.length(year) == 4) & F.length(month).between(1, 2) & F.length(day).between(1, 2) & (customer != "")
+            bare_number = F.ltrim(customer, F.lit("0"))
+            return F.when(sound, F.concat(year, two(month), two(day), F.lit("-"), F.when(bare_number == "", "0").otherwise(bare_number))).otherwise(bare)
+
+        rest = F.substring_index(bare, "/", -1)
+        us = dated(part(rest, "-", 1), part(bare, "/", 1), part(bare, "/", 2), F.substring_index(bare, "-", -1))
+        iso = dated(part(bare, "-", 1), part(bare, "-", 2), part(bare, "-", 3), F.substring_index(bare, "-", -1))
+        return F.when(shape == "//-", us).when(shape == "---", iso).when(bare != "", bare)
+
+    # the array binds the bare text, which is then made once
+    return F.transform(F.array(F.translate(text, _MARKS, "")), built)[0]
+
+
+def basket_items(df: DataFrame, key: str, item: str) -> DataFrame:
+    """``basket, item`` of the rows that have both.
+
+    Rows without a basket are left out by their raw text, so that the key isn't
+    made once more for the filter.
+    """
+    kept = df.where((F.translate(key, _MARKS, "") != "") & F.col(item).isNotNull())
+    return kept.select(F.coalesce(basket_key(F.col(key)), F.lit("")).alias("basket"), F.col(item).alias("item"))
 
 
 #: The same as SQL, of a column ``t`` that has lost its quotes and blanks.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.baskets import BASKET_SQL, basket_key
+from tessera.functions.baskets import BASKET_SQL, basket_items
 from tessera.operators import features, itemsets, relational
 from tessera.session import materialize
 from tessera.sources import sinks, views
@@ -127,7 +127,7 @@ def basket_size_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _transactions(spark: SparkSession, folder: str, larger_than: int = 0) -> DataFrame:
-    rows = table(spark, folder, "customer_product").select(basket_key(F.col("date_customer_id")).alias("basket"), F.col("product_id").alias("item"))
+    rows = basket_items(table(spark, folder, "customer_product"), "date_customer_id", "product_id")
     return itemsets.build_baskets(rows, "basket", "item", larger_than)
 
 
