@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Tokens of the indexed records that a part is meant to hold, and that it may hold.
-TOKENS_MEANT, TOKENS_HELD = 200_000, 1_000_000
+#: Tokens of the indexed records that a part is meant to hold, and that one task may hold of it.
+TOKENS_MEANT, TOKENS_HELD = 1_000_000, 2_000_000
+#: Tokens of the probing records that one task is meant to take.
+TOKENS_PROBED = 200_000
 #: Rows of the dictionary that one task numbers.
 NUMBERED_TOGETHER = 200_000
 #: Weight of the rule that chooses how many lists are the longest (Li, Lu and Lu, 2008).
@@ -87,6 +89,7 @@ class InvertedLists:
         self.names = [names[i] for i in order]
         self.sets = [sets[i] for i in order]
         self.sizes = [len(s) for s in self.sets]
+        self.order = list(zip(self.sizes, self.names, strict=True))
         tokens = np.concatenate(self.sets)
         ids = np.repeat(np.arange(len(order)), self.sizes)
         by = np.lexsort((ids, tokens))
@@ -94,21 +97,38 @@ class InvertedLists:
         self.tokens, first = np.unique(tokens, return_index=True)
         self.first = np.r_[first, len(tokens)]
 
-    def similar(self, name: str, probe: np.ndarray, threshold: float) -> Iterator[int]:
-        """Inner ids of similar records that are larger, or as large with a larger name."""
-        size = len(probe)
-        low, high = bisect_left(self.sizes, size), bisect_left(self.sizes, math.floor(size / threshold + _SLACK) + 1)
-        if low == high:
-            return
+    def _held(self, probe: np.ndarray) -> np.ndarray:
+        """Places of the lists of those tokens of ``probe`` that some record holds."""
         at = np.minimum(np.searchsorted(self.tokens, probe), len(self.tokens) - 1)
-        at = at[self.tokens[at] == probe]
-        needed = least_overlap(size, self.sizes[low], threshold)
-        lists = []
+        return at[self.tokens[at] == probe]
+
+    def _parts(self, at: np.ndarray, low: int, high: int) -> list[np.ndarray]:
+        """Of each list the inner ids from ``low`` to below ``high``; empty ones are left out."""
+        parts = []
         for i in at:
             part = self.ids[self.first[i] : self.first[i + 1]]
             a, b = np.searchsorted(part, (low, high))
             if a < b:
-                lists.append(part[a:b])
+                parts.append(part[a:b])
+        return parts
+
+    def similar(self, name: str, probe: np.ndarray, threshold: float, divisions: int = 1, division: int = 0) -> Iterator[int]:
+        """Inner ids of similar records that are larger, or as large with a larger name.
+
+        Of these, all whose first common token falls to ``division`` are among
+        the result.
+        """
+        size = len(probe)
+        low, high = bisect_right(self.order, (size, name)), bisect_left(self.sizes, math.floor(size / threshold + _SLACK) + 1)
+        if low >= high:
+            return
+        prefix = probe[: prefix_length(size, threshold)]
+        if divisions > 1:
+            prefix = prefix[prefix % divisions == division]
+        if not self._parts(self._held(prefix), low, high):
+            return  # no record has a first common token here
+        needed = least_overlap(size, self.sizes[low], threshold)
+        lists = self._parts(self._held(probe), low, high)
         if len(lists) < needed:
             return
         lists.sort(key=len)
@@ -123,12 +143,12 @@ class InvertedLists:
             where = np.minimum(np.searchsorted(entries, ids), len(entries) - 1)
             counts += entries[where] == ids
         for i, count in zip(ids.tolist(), counts.tolist(), strict=True):
-            if count >= least_overlap(size, self.sizes[i], threshold) and (self.sizes[i], self.names[i]) > (size, name):
+            if count >= least_overlap(size, self.sizes[i], threshold):
                 yield i
 
 
 def _join_parts(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Joins the rows ``part, slice, divisions, probing, name, tokens``, sorted by part, slice and probing."""
+    """Joins the rows of each part, slice and share, of which the indexed ones come first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, names, sets, index = None, [], [], None
@@ -136,11 +156,11 @@ def _join_parts(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             values = batch.column("tokens").flatten().to_numpy(zero_copy_only=False)
             ends = np.r_[0, np.cumsum(batch.column("tokens").value_lengths().to_numpy(zero_copy_only=False))]
             out: tuple[list[str], list[str]] = [], []
-            columns = (batch.column(c).to_pylist() for c in ("part", "slice", "divisions", "division", "probing", "name"))
-            for k, (part, piece, divisions, division, probing, name) in enumerate(zip(*columns, strict=True)):
+            columns = (batch.column(c).to_pylist() for c in ("part", "slice", "share", "divisions", "division", "probing", "name"))
+            for k, (part, piece, share, divisions, division, probing, name) in enumerate(zip(*columns, strict=True)):
                 tokens = values[ends[k] : ends[k + 1]]
-                if now != (part, piece):
-                    now, names, sets, index = (part, piece), [], [], None
+                if now != (part, piece, share):
+                    now, names, sets, index = (part, piece, share), [], [], None
                 if not probing:
                     names.append(name)
                     sets.append(tokens.copy())
@@ -150,7 +170,7 @@ def _join_parts(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                 if index is None:
                     index = InvertedLists(names, sets)
                     names, sets = [""], []
-                for i in index.similar(name, tokens, threshold):
+                for i in index.similar(name, tokens, threshold, divisions, division):
                     if divisions > 1:
                         first = np.intersect1d(tokens, index.sets[i], assume_unique=True)[0]
                         if first % divisions != division:
@@ -212,14 +232,25 @@ def similar_records(rows: DataFrame, threshold: float, materialize: Callable[[Da
     spread = spread.withColumn("division", F.explode(F.array_distinct(F.transform(prefix, lambda t: (t % F.col("divisions")).cast("int")))))
     part = F.shiftleft(F.col("group").cast("bigint"), 40) + F.col("division")
     spread = spread.withColumn("part", part)
-    indexed = spread.where(F.col("group") == F.col("band"))
-    slices = indexed.groupBy("part").agg(F.ceil(F.sum("size") / TOKENS_HELD).cast("int").alias("slices"))
-    slices = materialize(slices.where(F.col("slices") > 1))
-    columns = ["part", "slice", "divisions", "division", "probing", "name", "tokens"]
-    count = F.coalesce("slices", F.lit(1))
-    indexed = indexed.join(slices, "part", "left").withColumn("slice", F.pmod(F.xxhash64("name"), count).cast("int")).withColumn("probing", F.lit(0)).select(*columns)
-    probes = spread.join(slices, "part", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), count - 1))).withColumn("probing", F.lit(1)).select(*columns)
-    met = indexed.unionByName(probes).repartition("part", "slice").sortWithinPartitions("part", "slice", "probing")
+    own = F.col("group") == F.col("band")
+    slices = spread.groupBy("part").agg(
+        F.greatest(F.lit(1), F.ceil(F.sum(F.when(own, F.col("size")).otherwise(0)) / TOKENS_HELD)).cast("int").alias("slices"),
+        F.ceil(F.sum("size") / TOKENS_PROBED).cast("int").alias("shares"),
+    )
+    slices = materialize(slices)
+    tasks = slices.agg(F.sum(F.col("slices") * F.col("shares"))).first()[0]  # one number
+    # every share of the probes meets every slice of the index
+    columns = ["part", "slice", "share", "divisions", "division", "probing", "name", "tokens"]
+    n_slices, n_shares = F.coalesce("slices", F.lit(1)), F.coalesce("shares", F.lit(1))
+    picked = lambda n: F.pmod(F.xxhash64("name"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    sliced = spread.join(slices, "part", "left")
+    indexed = sliced.where(own).withColumn("slice", picked(n_slices)).withColumn("share", every(n_shares)).withColumn("probing", F.lit(0)).select(*columns)
+    probes = sliced.withColumn("slice", every(n_slices)).withColumn("share", picked(n_shares)).withColumn("probing", F.lit(1)).select(*columns)
+    key = ["part", "slice", "share"]
+    # the work is in the merging, not in the bytes by which partitions would be coalesced
+    partitions = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(int(tasks), 20_000))
+    met = indexed.unionByName(probes).repartition(partitions, *key).sortWithinPartitions(*key, "probing")
     return met.mapInArrow(_join_parts(threshold), "one string, two string"), members
 
 

@@ -165,6 +165,7 @@ def test_merge_skip(lists, needed):
 def test_similar_pairs_against_brute_force(spark, monkeypatch, meant, held, threshold):
     monkeypatch.setattr(set_similarity, "TOKENS_MEANT", meant)
     monkeypatch.setattr(set_similarity, "TOKENS_HELD", held)
+    monkeypatch.setattr(set_similarity, "TOKENS_PROBED", meant)
     draw, sets = random.Random(7), {}
     for i in range(120):
         if i % 3 and sets:
