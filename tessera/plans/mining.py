@@ -189,7 +189,7 @@ def community_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def girvan_newman(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.girvan_newman(_edges(spark, folder, STRONGEST_LINK), materialize, 6)[0]
+    return graph.girvan_newman(_edges(spark, folder, STRONGEST_LINK), materialize)[0]
 
 
 QUERIES = {

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tessera.functions import hashing
 from tessera.functions.baskets import basket_key
 from tessera.operators import cluster, features, graph, itemsets, minhash, overlap, recommend, relational, sketch
+from tessera.plans import mining
 from tessera.session import materialize
 from tessera.sources import readers, sinks
 from tessera.sources.views import latest
@@ -253,6 +254,34 @@ def test_long_chain_and_empty_graph(spark, rows):
     assert graph.girvan_newman(empty, materialize, 2)[0].count() == 0 and graph.label_propagation(empty, 2, materialize).count() == 0
 
 
+def naive_girvan_newman(edges):
+    """The best partition, after how many cuts it was first met, and the number of cuts."""
+    degree, left, most, cuts = Counter(v for e in edges for v in e), list(edges), float("-inf"), 0
+    while True:
+        name = {v: v for v in degree}
+        for _ in degree:
+            for a, b in left:
+                name[a] = name[b] = min(name[a], name[b])
+        inside = sum(name[a] == name[b] for a, b in edges) / len(edges)
+        q = inside - sum((sum(degree[v] for v in degree if name[v] == c) / (2 * len(edges))) ** 2 for c in set(name.values()))
+        if q >= most - 1e-12:
+            at = cuts if q > most + 1e-12 else at
+            best, most = name, q
+        if not left:
+            return best, at, cuts
+        found = brandes(left)
+        left = [e for e in left if found[e] < max(found.values()) - 1e-9]
+        cuts += 1
+
+
+def test_girvan_newman_query_cuts_to_the_end(spark, monkeypatch):
+    late = [tuple(e) for e in "ab af bh bi bj ce cf ch cj dg di ef eg eh gh gj hi hj".split()]
+    best, at, cuts = naive_girvan_newman(late)
+    assert (at, cuts) == (8, 9)
+    monkeypatch.setattr(mining, "_edges", lambda *_: spark.createDataFrame(late, "src string, dst string"))
+    assert dict(tuple(r) for r in mining.girvan_newman(spark, "").collect()) == best
+
+
 def test_modularity_meanings(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d")], "src string, dst string")
     one = spark.createDataFrame([(v, "all") for v in "abcd"], "vertex string, community string")
