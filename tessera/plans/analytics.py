@@ -174,7 +174,7 @@ def itemsets_by_growth(spark: SparkSession, folder: str) -> DataFrame:
 
 def itemset_report(spark: SparkSession, folder: str) -> DataFrame:
     """The frequent itemsets as the lines of a report."""
-    found = _itemsets(spark, folder, 2)
+    found = _itemsets(spark, folder)
     return sinks.itemset_report(found.withColumn("items", F.col("items").cast("array<string>")))
 
 

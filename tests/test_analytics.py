@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera.functions import hashing
 from tessera.functions.baskets import basket_key
 from tessera.operators import cluster, features, graph, itemsets, minhash, overlap, recommend, relational, sketch
-from tessera.plans import mining
+from tessera.plans import analytics, mining
 from tessera.session import materialize
 from tessera.sources import readers, sinks
 from tessera.sources.views import latest
@@ -134,6 +134,26 @@ def test_itemsets(spark, support):
     assert itemsets.build_baskets(spark.createDataFrame([("x", "i"), ("y", "i"), ("y", "j")], "b string, i string"), "b", "i", 1).count() == 2
 
 
+def own_transactions(spark, monkeypatch):
+    """Random baskets in place of the transactions of a folder, a tenth of them the support."""
+    baskets = {b.replace("b", "b-"): s for b, s in random_baskets(4).items()}
+    df = spark.createDataFrame([(b, i) for b, s in baskets.items() for i in s], "basket string, item string")
+    monkeypatch.setattr(analytics, "_transactions", lambda *_: df)
+    monkeypatch.setattr(analytics, "SUPPORT_SHARE", 0.1)
+    return baskets
+
+
+def held_by(sets, least):
+    return {c for c, n in Counter(c for s in sets for k in range(1, len(s) + 1) for c in combinations(sorted(s), k)).items() if n >= least}
+
+
+def test_itemset_report_query_has_every_size(spark, monkeypatch):
+    wanted = held_by(own_transactions(spark, monkeypatch).values(), 8)
+    assert max(map(len, wanted)) > 2
+    lines = dict(tuple(r) for r in analytics.itemset_report(spark, "").collect() if r["line"])
+    assert lines == {k: ",".join("('" + "', '".join(c) + "')" for c in sorted(wanted) if len(c) == k) for k in {len(c) for c in wanted}}
+
+
 def test_basket_key_forms(spark):
     df = spark.createDataFrame([("11/1/2016-5",), (' "11/01/2016"-"0005" ',), ("2016-11-01 - 5",), (None,)], "t string")
     assert [r[0] for r in df.select(basket_key(F.col("t"))).collect()] == ["20161101-5"] * 3 + [None]
