@@ -179,10 +179,10 @@ def itemset_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def son_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """Single items and pairs that are frequent within one of four parts of the baskets."""
+    """The itemsets of every size that are frequent within one of four parts of the baskets."""
     baskets = materialize(_transactions(spark, folder))
     parted = baskets.withColumn("part", (F.substring_index("basket", "-", -1).cast("bigint") % PARTS).cast("int"))
-    return itemsets.son_candidates(parted, _support(baskets, SUPPORT_SHARE), PARTS, materialize, 2).select(F.array_join(F.col("items").cast("array<string>"), " ").alias("items"))
+    return itemsets.son_candidates(parted, _support(baskets, SUPPORT_SHARE), PARTS, materialize).select(F.array_join(F.col("items").cast("array<string>"), " ").alias("items"))
 
 
 QUERIES = {

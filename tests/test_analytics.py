@@ -154,6 +154,14 @@ def test_itemset_report_query_has_every_size(spark, monkeypatch):
     assert lines == {k: ",".join("('" + "', '".join(c) + "')" for c in sorted(wanted) if len(c) == k) for k in {len(c) for c in wanted}}
 
 
+def test_son_candidates_query_has_every_size(spark, monkeypatch):
+    baskets = own_transactions(spark, monkeypatch)
+    parts = [[s for b, s in baskets.items() if int(b[2:]) % analytics.PARTS == p] for p in range(analytics.PARTS)]
+    wanted = set().union(*(held_by(sets, 2) for sets in parts))
+    got = {tuple(r["items"].split(" ")) for r in analytics.son_candidates(spark, "").collect()}
+    assert got == wanted and held_by(baskets.values(), 8) <= got and max(map(len, got)) > 2
+
+
 def test_basket_key_forms(spark):
     df = spark.createDataFrame([("11/1/2016-5",), (' "11/01/2016"-"0005" ',), ("2016-11-01 - 5",), (None,)], "t string")
     assert [r[0] for r in df.select(basket_key(F.col("t"))).collect()] == ["20161101-5"] * 3 + [None]
