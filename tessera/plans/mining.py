@@ -33,12 +33,12 @@ def _n_elements(rows: DataFrame) -> int:
 
 def minhash_signature(spark: SparkSession, folder: str) -> DataFrame:
     rows = _sets(spark, folder)
-    return minhash.minhash_signatures(rows, FAMILY[:20], _n_elements(rows)).withColumnRenamed("name", "item")
+    return minhash.minhash_signatures(rows, FAMILY, _n_elements(rows)).withColumnRenamed("name", "item")
 
 
 def lsh_candidates(spark: SparkSession, folder: str) -> DataFrame:
     rows = _sets(spark, folder)
-    banded = minhash.bands(minhash.minhash_signatures(rows, FAMILY[:20], _n_elements(rows)), ROWS_PER_BAND)
+    banded = minhash.bands(minhash.minhash_signatures(rows, FAMILY, _n_elements(rows)), ROWS_PER_BAND)
     return minhash.lsh_candidates(materialize(banded))
 
 

@@ -185,6 +185,17 @@ def test_lsh_finds_the_similar(spark):
     assert got == {p: s for p, s in exact.items() if s >= 0.5}
 
 
+def test_minhash_queries_use_the_whole_family(spark, monkeypatch):
+    sets = random_baskets(8, 30, 30)
+    number = {e: int.from_bytes(e.encode(), "big") % hashing.SKETCH_MODULUS for s in sets.values() for e in s}
+    df = spark.createDataFrame([(n, e, number[e]) for n, s in sets.items() for e in s], "name string, element string, x bigint")
+    monkeypatch.setattr(mining, "_sets", lambda *_: df)
+    wanted = {(n, i): min((a * number[e] + b) % hashing.SKETCH_MODULUS % len(number) for e in s) for n, s in sets.items() for i, (a, b) in enumerate(hashing.hash_family(250, 1, 251))}
+    assert {(r["item"], r["number"]): r["least"] for r in mining.minhash_signature(spark, "").collect()} == wanted
+    alike = {(x, y) for x, y in combinations(sorted(sets), 2) if any(all(wanted[x, i] == wanted[y, i] for i in (j, j + 1)) for j in range(0, 250, 2))}
+    assert {tuple(r) for r in mining.lsh_candidates(spark, "").collect()} == alike
+
+
 # recommendation ----------------------------------------------------------------
 
 
