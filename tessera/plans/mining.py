@@ -16,7 +16,7 @@ N_HASHES, ROWS_PER_BAND, SIMILAR = 250, 2, 0.5
 FAMILY = hash_family(N_HASHES, 1, 251)
 MIN_RATINGS, MORE_COMMON_THAN = 10, 3
 HYBRID_MIN_RATINGS, HYBRID_MORE_COMMON_THAN = 15, 5
-#: Common businesses that link two users; more for the costly operators.
+#: Common businesses that link two users. The other two thresholds are only those of the SQL of bfs_levels and edge_betweenness.
 LINK, STRONG_LINK, STRONGEST_LINK = 6, 8, 9
 LPA_ROUNDS = 5
 
@@ -159,17 +159,17 @@ def components(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bfs_levels(spark: SparkSession, folder: str) -> DataFrame:
-    found = graph.bfs(_edges(spark, folder, STRONG_LINK), materialize)
+    found = graph.bfs(_edges(spark, folder, LINK), materialize)
     return found.select("source", "vertex", "distance", F.col("paths").cast("bigint").alias("paths"))
 
 
 def edge_betweenness(spark: SparkSession, folder: str) -> DataFrame:
-    found = graph.edge_betweenness(_edges(spark, folder, STRONGEST_LINK), materialize)
+    found = graph.edge_betweenness(_edges(spark, folder, LINK), materialize)
     return found.select("src", "dst", F.round("betweenness", 5).alias("betweenness"))
 
 
 def betweenness_report(spark: SparkSession, folder: str) -> DataFrame:
-    return sinks.betweenness_report(graph.edge_betweenness(_edges(spark, folder, STRONGEST_LINK), materialize))
+    return sinks.betweenness_report(graph.edge_betweenness(_edges(spark, folder, LINK), materialize))
 
 
 def modularity_of_partition(spark: SparkSession, folder: str) -> DataFrame:
@@ -189,7 +189,7 @@ def community_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def girvan_newman(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.girvan_newman(_edges(spark, folder, STRONGEST_LINK), materialize)[0]
+    return graph.girvan_newman(_edges(spark, folder, LINK), materialize)[0]
 
 
 QUERIES = {

@@ -321,6 +321,19 @@ def test_girvan_newman_query_cuts_to_the_end(spark, monkeypatch):
     assert dict(tuple(r) for r in mining.girvan_newman(spark, "").collect()) == best
 
 
+def test_graph_queries_share_one_graph(spark, monkeypatch, rows):
+    assert mining.LINK < 9
+    # a and b share LINK items, b and c nine
+    visits = [(u, f"i{i}") for u, own in (("a", range(mining.LINK)), ("b", range(mining.LINK + 9)), ("c", range(mining.LINK, mining.LINK + 9))) for i in own]
+    monkeypatch.setattr(mining.views, "visits", lambda *_: spark.createDataFrame(visits, "user string, item string"))
+    edges = [("a", "b"), ("b", "c")]
+    assert rows(mining.graph_edges(spark, "")) == edges
+    assert rows(mining.edge_betweenness(spark, "")) == [(*e, 2.0) for e in edges]
+    assert [r[0] for r in mining.betweenness_report(spark, "").collect()] == [f"('{x}', '{y}'),2.0" for x, y in edges]
+    assert {(r["source"], r["vertex"]): r["distance"] for r in mining.bfs_levels(spark, "").collect()} == {(x, y): abs(ord(x) - ord(y)) for x in "abc" for y in "abc"}
+    assert {r["vertex"] for r in mining.girvan_newman(spark, "").collect()} == set("abc")
+
+
 def test_modularity_meanings(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d")], "src string, dst string")
     one = spark.createDataFrame([(v, "all") for v in "abcd"], "vertex string, community string")
