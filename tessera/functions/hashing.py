@@ -12,7 +12,7 @@ BLOOM_HASHES = ((1999, 2023), (2000, 2001), (2022, 2024))
 SKETCH_MODULUS = 7202218937
 SKETCH_RANGE = 69997
 
-_DRAW_MODULUS, _DRAW_FACTOR = 2147483647, 48271
+_DRAW_MODULUS, _DRAW_ROUNDS = 2147483647, 6
 
 
 def text_number(text: Column, modulus: int) -> Column:
@@ -54,17 +54,34 @@ def family_column(pairs: list[tuple[int, int]]) -> Column:
     return F.array(*(entry(i, a, b) for i, (a, b) in enumerate(pairs)))
 
 
+def _round_keys(seed: int) -> list[int]:
+    """The added constants of the rounds of ``draw``."""
+    return [a for a, _ in hash_family(_DRAW_ROUNDS, 1000 + seed, _DRAW_MODULUS)]
+
+
 def draw(position: Column, seed: int) -> Column:
-    """A number in [0, 1) that depends on ``position`` and ``seed`` only."""
-    start = (position.cast("bigint") + seed * 7919 + 1) % _DRAW_MODULUS
-    for _ in range(3):
-        start = (start * _DRAW_FACTOR + 12345) % _DRAW_MODULUS
-    return start / F.lit(float(_DRAW_MODULUS))
+    """A number in [0, 1) that depends on ``position`` and ``seed`` only.
+
+    Each round adds a constant of the seed and takes the fifth power, which
+    permutes the numbers below the prime, so that the draws of different seeds
+    aren't related by any linear rule.
+    """
+
+    def fifth(x: Column) -> Column:
+        square = x * x % _DRAW_MODULUS
+        return square * square % _DRAW_MODULUS * x % _DRAW_MODULUS
+
+    keys = F.array(*(F.lit(k).cast("bigint") for k in _round_keys(seed)))
+    mixed = F.aggregate(keys, position.cast("bigint") % _DRAW_MODULUS, lambda x, k: fifth((x + k) % _DRAW_MODULUS))
+    return mixed / F.lit(float(_DRAW_MODULUS))
 
 
 def draw_sql(position: str, seed: int) -> str:
-    """``draw`` as SQL."""
-    start = f"(({position} + {seed * 7919 + 1}) % {_DRAW_MODULUS})"
-    for _ in range(3):
-        start = f"(({start} * {_DRAW_FACTOR} + 12345) % {_DRAW_MODULUS})"
-    return f"({start} / {float(_DRAW_MODULUS)})"
+    """``draw`` as SQL, the fifth power by five single steps of 128 bits."""
+    p = _DRAW_MODULUS
+    shifted = f"((x + k) % {p})"
+    power = shifted
+    for _ in range(4):
+        power = f"({power} * {shifted} % {p})"
+    keys = ", ".join(f"{k}::HUGEINT" for k in _round_keys(seed))
+    return f"(list_reduce(list_prepend({position}::HUGEINT % {p}, [{keys}]), lambda x, k: {power})::DOUBLE / {float(p)})"

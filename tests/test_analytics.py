@@ -380,6 +380,25 @@ def test_sketches(spark):
             assert [slots[pos + 1, s] for s in range(100)] == held
 
 
+def test_reservoir_is_uniform(spark):
+    """Every position is as likely to stay, and every slot to be written, by counting and without ``draw``."""
+    n, size, seeds = 3000, 100, 12
+    df = sketch.count_batches(spark.range(n).select(F.col("id").alias("p"), F.col("id").cast("string").alias("k")), "p", "k", size)
+    held, written = Counter(), Counter()
+    for seed in range(seeds):
+        slots = sketch.reservoir(df, size, seed)
+        for r in slots.where(F.col("seqnum") == n).collect():
+            held[int(r["value"]) * 10 // n] += 1
+            written[r["slot"]] += int(r["value"]) >= size
+    assert sum(held.values()) == size * seeds
+    assert all(abs(held[d] - 120) < 55 for d in range(10))  # five deviations
+    assert len(written) == size and min(written.values()) >= seeds - 3
+    draws = np.array([tuple(r) for r in spark.range(20_000).select(hashing.draw(F.col("id"), 5), hashing.draw(F.col("id"), 6)).collect()])
+    assert abs(np.corrcoef(draws.T)[0, 1]) < 0.035 and abs(np.corrcoef(draws[1:, 0], draws[:-1, 0])[0, 1]) < 0.035
+    grid = np.histogram2d(draws[:, 0], draws[:, 1], bins=10, range=[[0, 1], [0, 1]])[0]
+    assert ((grid - 200) ** 2 / 200).sum() < 180  # 99 degrees of freedom
+
+
 # clustering --------------------------------------------------------------------
 
 
