@@ -13,7 +13,7 @@ from tessera.sources.tables import table
 
 #: 125 bands of 2: a pair of similarity 0.5 is missed with probability 0.75**125.
 N_HASHES, ROWS_PER_BAND, SIMILAR = 250, 2, 0.5
-FAMILY = hash_family(N_HASHES, 1, 251)
+FAMILY = hash_family(N_HASHES, 1, SKETCH_MODULUS)
 MIN_RATINGS, MORE_COMMON_THAN = 10, 3
 HYBRID_MIN_RATINGS, HYBRID_MORE_COMMON_THAN = 15, 5
 #: Common businesses that link two users. The other two thresholds are only those of the SQL of bfs_levels and edge_betweenness.
@@ -38,7 +38,7 @@ def minhash_signature(spark: SparkSession, folder: str) -> DataFrame:
 
 def lsh_candidates(spark: SparkSession, folder: str) -> DataFrame:
     rows = _sets(spark, folder)
-    banded = minhash.bands(minhash.minhash_signatures(rows, FAMILY, _n_elements(rows)), ROWS_PER_BAND)
+    banded = minhash.bands(minhash.minhash_minima(rows, FAMILY, _n_elements(rows)), ROWS_PER_BAND)
     return minhash.lsh_candidates(materialize(banded))
 
 
@@ -203,9 +203,9 @@ QUERIES = {
 
 _V = views.with_views
 _NUMBER = f"list_reduce(list_prepend(0::BIGINT, list_transform(string_split(e, ''), lambda c: ascii(c)::BIGINT)), lambda a, x: (a * 256 + x) % {SKETCH_MODULUS})"
-_FAMILY = "h(number, a, b) AS (VALUES " + ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(FAMILY[:20])) + ")"
+_FAMILY = "h(number, a, b) AS (VALUES " + ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(FAMILY)) + ")"
 _SIGNATURES = _V("v") + f""", e AS (SELECT DISTINCT "user" AS e FROM v), x AS (SELECT e, {_NUMBER} AS x FROM e), m AS (SELECT count(*) AS m FROM e), {_FAMILY},
-sig AS (SELECT item, number, min((a * x + b) % {SKETCH_MODULUS} % (SELECT m FROM m))::BIGINT AS least FROM v JOIN x ON x.e = v."user", h GROUP BY ALL)"""
+sig AS (SELECT item, number, min((a::HUGEINT * x + b) % {SKETCH_MODULUS} % (SELECT m FROM m))::BIGINT AS least FROM v JOIN x ON x.e = v."user", h GROUP BY ALL)"""
 
 
 def _pearson_sql(least: int, more: int) -> str:

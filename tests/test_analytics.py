@@ -180,7 +180,7 @@ def test_lsh_finds_the_similar(spark):
     sets = random_baskets(8, 60)
     sets |= {f"copy{i}": {"i1", "i2"} for i in range(5)}
     df = spark.createDataFrame([(n, e) for n, s in sets.items() for e in s], "name string, element string").withColumn("x", hashing.text_number(F.col("element"), hashing.SKETCH_MODULUS))
-    got = {(r["one"], r["two"]): round(r["similarity"], 9) for r in minhash.similar_pairs(df, hashing.hash_family(250, 1, 251), 9, 2, 0.5, materialize).collect()}
+    got = {(r["one"], r["two"]): round(r["similarity"], 9) for r in minhash.similar_pairs(df, mining.FAMILY, 9, 2, 0.5, materialize).collect()}
     exact = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 9) for a, b in combinations(sorted(sets), 2)}
     assert got == {p: s for p, s in exact.items() if s >= 0.5}
 
@@ -190,8 +190,9 @@ def test_minhash_queries_use_the_whole_family(spark, monkeypatch):
     number = {e: int.from_bytes(e.encode(), "big") % hashing.SKETCH_MODULUS for s in sets.values() for e in s}
     df = spark.createDataFrame([(n, e, number[e]) for n, s in sets.items() for e in s], "name string, element string, x bigint")
     monkeypatch.setattr(mining, "_sets", lambda *_: df)
-    wanted = {(n, i): min((a * number[e] + b) % hashing.SKETCH_MODULUS % len(number) for e in s) for n, s in sets.items() for i, (a, b) in enumerate(hashing.hash_family(250, 1, 251))}
+    wanted = {(n, i): min((a * number[e] + b) % hashing.SKETCH_MODULUS % len(number) for e in s) for n, s in sets.items() for i, (a, b) in enumerate(mining.FAMILY)}
     assert {(r["item"], r["number"]): r["least"] for r in mining.minhash_signature(spark, "").collect()} == wanted
+    assert len({a for a, _ in mining.FAMILY}) == 250
     alike = {(x, y) for x, y in combinations(sorted(sets), 2) if any(all(wanted[x, i] == wanted[y, i] for i in (j, j + 1)) for j in range(0, 250, 2))}
     assert {tuple(r) for r in mining.lsh_candidates(spark, "").collect()} == alike
 
