@@ -16,8 +16,8 @@ N_HASHES, ROWS_PER_BAND, SIMILAR = 250, 2, 0.5
 FAMILY = hash_family(N_HASHES, 1, SKETCH_MODULUS)
 MIN_RATINGS, MORE_COMMON_THAN = 10, 3
 HYBRID_MIN_RATINGS, HYBRID_MORE_COMMON_THAN = 15, 5
-#: Common businesses that link two users. The other two thresholds are only those of the SQL of bfs_levels and edge_betweenness.
-LINK, STRONG_LINK, STRONGEST_LINK = 6, 8, 9
+#: Common businesses that link two users.
+LINK = 6
 LPA_ROUNDS = 5
 
 
@@ -275,11 +275,14 @@ SELECT least(4, floor(abs(e)))::INT AS error_from, count(*) AS n, (SELECT round(
     "graph_degree": _edges_sql(LINK) + " SELECT src AS vertex, count(*) AS degree FROM s GROUP BY 1",
     "components": _edges_sql(LINK) + """, comp AS (SELECT DISTINCT src AS vertex, src AS label FROM s UNION SELECT s.dst, comp.label FROM comp JOIN s ON s.src = comp.vertex)
 SELECT vertex, min(label) AS component FROM comp GROUP BY 1""",
-    "bfs_levels": _edges_sql(STRONG_LINK) + _WALKS + " SELECT source, vertex, distance, paths::BIGINT AS paths FROM walk",
-    "edge_betweenness": _edges_sql(STRONGEST_LINK) + _WALKS + """
-SELECT e.src, e.dst, round(sum(a.paths::DOUBLE * b.paths / w.paths), 5) AS betweenness
-FROM s JOIN walk a ON a.vertex = s.src JOIN walk b ON b.vertex = s.dst JOIN walk w ON w.source = a.source AND w.vertex = b.source AND w.distance = a.distance + 1 + b.distance
-JOIN e ON e.src = least(s.src, s.dst) AND e.dst = greatest(s.src, s.dst) WHERE a.source < b.source GROUP BY 1, 2""",
+    "bfs_levels": _edges_sql(LINK) + _WALKS + " SELECT source, vertex, distance, paths::BIGINT AS paths FROM walk",
+    "edge_betweenness": _edges_sql(LINK) + _WALKS + """,
+id AS MATERIALIZED (SELECT vertex, row_number() OVER (ORDER BY vertex)::INT AS i FROM vx),
+w AS MATERIALIZED (SELECT a.i AS s, b.i AS v, distance::INT AS d, paths::DOUBLE AS p FROM walk JOIN id a ON a.vertex = source JOIN id b ON b.vertex = walk.vertex),
+link AS MATERIALIZED (SELECT a.i AS x, b.i AS y FROM s JOIN id a ON a.vertex = src JOIN id b ON b.vertex = dst),
+step AS MATERIALIZED (SELECT w.s, x, y, w.d + 1 AS d, w.p FROM w JOIN link ON x = w.v JOIN w n ON n.s = w.s AND n.v = y AND n.d = w.d + 1),
+part AS (SELECT step.x, step.y, sum(step.p * b.p / w.p) AS c FROM step JOIN w b ON b.s = step.y JOIN w ON w.s = step.s AND w.v = b.v AND w.d = step.d + b.d GROUP BY 1, 2)
+SELECT a.vertex AS src, b.vertex AS dst, round(sum(c) / 2, 5) AS betweenness FROM part JOIN id a ON a.i = least(x, y) JOIN id b ON b.i = greatest(x, y) GROUP BY 1, 2""",
     "modularity_of_partition": _edges_sql(LINK) + """, k AS (SELECT src AS vertex, count(*) AS k, ascii(right(src, 1)) % 2 AS c FROM s GROUP BY ALL), m AS (SELECT count(*)::DOUBLE AS m FROM e),
 i AS (SELECT ascii(right(src, 1)) % 2 AS c, count(*) AS l FROM e WHERE ascii(right(src, 1)) % 2 = ascii(right(dst, 1)) % 2 GROUP BY 1), kc AS (SELECT c, sum(k) AS k FROM k GROUP BY 1)
 SELECT round(sum(coalesce(l, 0) / m.m - power(kc.k / (2 * m.m), 2)), 6) AS modularity FROM kc LEFT JOIN i USING (c), m""",
