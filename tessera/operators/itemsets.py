@@ -24,38 +24,38 @@ def _frequent(occurrences: DataFrame, support: int) -> DataFrame:
 def _levels(rows: DataFrame, support: int, max_size: int | None, materialize: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
     """``part, items, n`` of the itemsets of each size that are frequent within a part.
 
-    Level k joins the occurrences of level k-1 in one basket that agree but for
-    the last item.  Candidates with an infrequent subset are removed before
-    they are counted, occurrences of infrequent itemsets after, so a basket
-    never holds more than the frequent itemsets.
+    Pairs are counted where they stand, from the frequent items of a basket,
+    and combined before the shuffle.  From triples on, level k joins the
+    occurrences of level k-1 in one basket that agree but for the last item,
+    and candidates with an infrequent subset are removed before they are
+    counted.  Only occurrences of frequent itemsets are written.
     """
     single = rows.select("part", "basket", F.array("item").alias("items"))
-    level = materialize(_frequent(single, support))
-    levels = [level]
-    held = single
-    size = 1
-    while (max_size is None or size < max_size) and not level.isEmpty():
-        held = materialize(held.join(level.select("part", "items"), ["part", "items"], "left_semi"))
-        size += 1
-        head, tail = F.slice("items", 1, size - 2), F.element_at("items", -1)
-
-        def grown(df: DataFrame, by: list[str], head=head, tail=tail) -> DataFrame:
-            one = df.select(*by, head.alias("head"), tail.alias("x"))
-            two = df.select(*by, head.alias("head"), tail.alias("y"))
-            joined = one.join(two, [*by, "head"]).where(F.col("x") < F.col("y"))
-            return joined.select(*by, F.concat("head", F.array("x", "y")).alias("items"))
+    levels = [materialize(_frequent(single, support))]
+    held, size = single, 1
 
-        candidates = grown(level, ["part"])
+    def grown(df: DataFrame, by: list[str], size: int) -> DataFrame:
+        """Itemsets of ``size`` from those of one item less that agree but for the last one."""
+        head, tail = F.slice("items", 1, size - 2), F.element_at("items", -1)
+        one = df.select(*by, head.alias("head"), tail.alias("x"))
+        two = df.select(*by, head.alias("head"), tail.alias("y"))
+        joined = one.join(two, [*by, "head"] if size > 2 else by).where(F.col("x") < F.col("y"))
+        return joined.select(*by, (F.concat(one["head"], F.array("x", "y")) if size > 2 else F.array("x", "y")).alias("items"))
+
+    while (max_size is None or size < max_size) and not levels[-1].isEmpty():
+        level = levels[-1].select("part", "items")
+        held = materialize(held.join(level, ["part", "items"], "left_semi"))
+        size += 1
+        met = grown(held, ["part", "basket"], size)
         if size > 2:
+            candidates = grown(level, ["part"], size)
             subsets = candidates.withColumn("without", F.explode(F.sequence(F.lit(1), F.lit(size))))
             subset = F.concat(F.slice("items", 1, F.col("without") - 1), F.slice("items", F.col("without") + 1, F.lit(size) - F.col("without")))
-            known = level.select("part", F.col("items").alias("subset"))
-            found = subsets.withColumn("subset", subset).join(known, ["part", "subset"], "left_semi")
+            found = subsets.withColumn("subset", subset).join(level.withColumnRenamed("items", "subset"), ["part", "subset"], "left_semi")
             candidates = found.groupBy("part", "items").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == size)
-        held = grown(held, ["part", "basket"]).join(candidates.select("part", "items"), ["part", "items"], "left_semi")
-        held = materialize(held)
-        level = materialize(_frequent(held, support))
-        levels.append(level)
+            met = met.join(candidates.select("part", "items"), ["part", "items"], "left_semi")
+        levels.append(materialize(_frequent(met, support)))
+        held = met
     return levels
 
 
@@ -92,3 +92,24 @@ def son_candidates(baskets: DataFrame, support: int, partitions: int, materializ
     given, so the result doesn't depend on how rows happen to be placed.
     """
     return _union(_levels(baskets, -(-support // partitions), max_size, materialize)).select("items").distinct()
+
+
+def count_candidates(baskets: DataFrame, candidates: DataFrame, support: int, materialize: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``items, n``: the ``candidates`` (``items``, distinct) that at least ``support`` of all baskets hold.
+
+    ``baskets`` holds distinct ``basket, item``.  A candidate meets the baskets
+    of its rarest item first, then those that also hold the next, so that
+    frequent items are looked up in what is left.
+    """
+    frequency = baskets.groupBy("item").agg(F.count(F.lit(1)).alias("f"))
+    each = candidates.select("items", F.explode("items").alias("item")).join(frequency, "item")
+    ordered = each.groupBy("items").agg(F.array_sort(F.collect_list(F.struct("f", "item"))).alias("order"))  # as many entries as the itemset
+    left = ordered.where(F.size("order") == F.size("items")).select("items", F.col("order.item").alias("order"))
+    most = candidates.agg(F.max(F.size("items"))).first()[0] or 0  # one number
+    counts = [candidates.select("items", F.lit(0).cast("bigint").alias("n")).where(F.lit(False))]
+    for at in range(most):
+        asked = left.withColumn("item", F.get("order", F.lit(at)))
+        met = asked.join(baskets, "item" if at == 0 else ["basket", "item"]).drop("item")
+        left = materialize(met.where(F.size("order") > at + 1))
+        counts.append(met.where(F.size("order") == at + 1).groupBy("items").agg(F.count(F.lit(1)).alias("n")))
+    return _union(counts).where(F.col("n") >= support)

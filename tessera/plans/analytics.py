@@ -185,12 +185,21 @@ def son_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return itemsets.son_candidates(parted, _support(baskets, SUPPORT_SHARE), PARTS, materialize).select(F.array_join(F.col("items").cast("array<string>"), " ").alias("items"))
 
 
+def son_frequent(spark: SparkSession, folder: str) -> DataFrame:
+    """The frequent itemsets by both passes: the candidates of the parts, counted over all baskets."""
+    baskets = materialize(_transactions(spark, folder))
+    support = _support(baskets, SUPPORT_SHARE)
+    parted = baskets.withColumn("part", (F.substring_index("basket", "-", -1).cast("bigint") % PARTS).cast("int"))
+    candidates = materialize(itemsets.son_candidates(parted, support, PARTS, materialize))
+    return _spelled(itemsets.count_candidates(baskets, candidates, support, materialize))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         review_profile, review_profile_document, top_users, top_items, city_rating, city_rating_top10, partition_histogram, partition_histogram_default, json_props, map_sum,
         keyword_score, exclamation_count, category_top, category_indicators, semi_valid_items, left_default, last_value_per_key, basket_build, basket_size_filter,
-        transaction_etl, itemsets_l1, itemsets_l2, itemsets_l3, itemsets_all, itemsets_by_growth, itemset_report, son_candidates,
+        transaction_etl, itemsets_l1, itemsets_l2, itemsets_l3, itemsets_all, itemsets_by_growth, itemset_report, son_candidates, son_frequent,
     )
 }
 
@@ -240,9 +249,13 @@ SELECT x.partition::INT AS partition, coalesce(c, 0) AS n_items FROM range({PART
     "itemsets_l3": _T + "SELECT * FROM every WHERE size = 3",
     "itemsets_all": _T + "SELECT * FROM every",
     "itemsets_by_growth": _T + "SELECT * FROM every",
+    "son_frequent": _T + "SELECT * FROM every",
     "son_candidates": _T + f""", q AS (SELECT *, string_split(basket, '-')[-1]::BIGINT % {PARTS} AS part FROM k), t AS (SELECT ceil(s / {PARTS}) AS t FROM s),
 c1 AS (SELECT part, item FROM q GROUP BY ALL HAVING count(*) >= (SELECT t FROM t)),
-g AS (SELECT q.* FROM q SEMI JOIN c1 ON c1.part = q.part AND c1.item = q.item),
-c2 AS (SELECT DISTINCT i1, i2 FROM (SELECT a.part, a.item AS i1, b.item AS i2 FROM g a JOIN g b ON a.basket = b.basket AND a.item < b.item GROUP BY ALL HAVING count(*) >= (SELECT t FROM t)))
-SELECT DISTINCT item::VARCHAR AS items FROM c1 UNION ALL SELECT i1 || ' ' || i2 FROM c2""",
+g AS MATERIALIZED (SELECT q.* FROM q SEMI JOIN c1 ON c1.part = q.part AND c1.item = q.item),
+held AS (SELECT part, basket, item AS last, item::VARCHAR AS items FROM g
+  UNION ALL SELECT part, basket, last, items FROM (
+    SELECT held.part, held.basket, g.item AS last, items || ' ' || g.item AS items, count(*) OVER (PARTITION BY held.part, items, g.item) AS n
+    FROM held JOIN g ON g.basket = held.basket AND g.part = held.part AND g.item > held.last) WHERE n >= (SELECT t FROM t))
+SELECT DISTINCT items FROM held""",
 }

@@ -130,6 +130,8 @@ def test_itemsets(spark, support):
     for p in range(3):
         local |= {c for c, n in Counter(c for b, s in baskets.items() if int(b[1:]) % 3 == p for k in range(1, len(s) + 1) for c in combinations(sorted(s), k)).items() if n >= -(-support // 3)}
     assert candidates == local and set(wanted) <= candidates
+    second = itemsets.count_candidates(df, itemsets.son_candidates(parts, support, 3, materialize), support, materialize)
+    assert {tuple(r["items"]): r["n"] for r in second.collect()} == wanted
     assert itemsets.frequent_itemsets(df.limit(0), support, materialize).count() == 0
     assert itemsets.build_baskets(spark.createDataFrame([("x", "i"), ("y", "i"), ("y", "j")], "b string, i string"), "b", "i", 1).count() == 2
 
