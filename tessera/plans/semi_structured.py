@@ -6,32 +6,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.multi_value import packed_values
-from tessera.operators.nested import FlatTables, flatten, map_entries
-from tessera.session import materialize
+from tessera.operators.nested import flatten, map_entries
 from tessera.sources.tables import table
 
 #: Delimiters of each packed field; blanks part ids and years, but not the words of a category.
 DELIMITERS = {"categories": ",;|/\t\r\n", "friends": ",;| \t\r\n", "elite": ",;|/& \t\r\n"}
 
 
-def _flat(spark: SparkSession, folder: str) -> FlatTables:
+def _entries(spark: SparkSession, folder: str) -> DataFrame:
     entries = map_entries(table(spark, folder, "business"), "business_id", ["attributes", "hours"])
-    return flatten(entries.unionByName(map_entries(table(spark, folder, "checkin"), "business_id", ["time"])), materialize)
+    return entries.unionByName(map_entries(table(spark, folder, "checkin"), "business_id", ["time"]))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """The path of every leaf of business.attributes, business.hours and checkin.time."""
-    return _flat(spark, folder).leaves.select(F.col("record_id").alias("business_id"), "root", "path").distinct()
+    return flatten(_entries(spark, folder)).paths.select(F.col("record_id").alias("business_id"), "root", "path").distinct()
 
 
 def p3_schema(spark: SparkSession, folder: str) -> DataFrame:
     """The merged schema of the nested fields."""
-    return _flat(spark, folder).schema
+    return flatten(_entries(spark, folder).distinct()).schema
 
 
 def p3_first_array_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """The child table of the outermost arrays, with the link to its parent rows."""
-    return _flat(spark, folder).table(1)
+    """The child tables of the outermost arrays, with the link to their parent rows."""
+    return flatten(_entries(spark, folder).distinct()).table(1)
+
+
+def p3_checkin_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The records' own table of checkin.time, whose values hold no arrays."""
+    leaves = flatten(map_entries(table(spark, folder, "checkin"), "business_id", ["time"]).distinct()).leaves
+    return leaves.select(F.col("record_id").alias("business_id"), "root", "level", "path", "kind", "value")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,9 +49,10 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return parts.distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_schema, p3_first_array_rows, p6_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_schema, p3_first_array_rows, p3_checkin_table, p6_found)}
 
 SQL = {
+    "p3_checkin_table": """SELECT DISTINCT business_id, 'time' AS root, 0 AS level, unnest(map_keys("time")) AS path, 'leaf' AS kind, unnest(map_values("time"))::VARCHAR AS value FROM checkin""",
     "p6_found": r"""
 WITH field AS (
   SELECT DISTINCT 'business' AS table_name, business_id AS record_id, 'categories' AS field, trim(categories, E' \t\r\n') AS t FROM business

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from tessera.operators.multi_value import packed_values, split_array
 from tessera.operators.nested import flatten, map_entries, open_deep, opened, parse
 from tessera.plans.semi_structured import DELIMITERS
-from tessera.session import materialize
 
 CATEGORIES = [
     ("A, B", ["A", "B"]), (" A ,B\t", ["A", "B"]), ("A|B; C/D", ["A", "B", "C", "D"]), ('"A, x", B', ["A, x", "B"]), ('"Bar ""Old"", x"; B', ['Bar "Old", x', "B"]),
@@ -111,7 +110,7 @@ def test_flat_tables(spark):
     }
     df = spark.createDataFrame([("b1", values), ("b1", values), ("b2", None), ("b3", {}), (None, {"k": "[1]"})], "id string, m map<string, string>").withColumn("path", F.lit("clash"))
     counts = spark.createDataFrame([("b1", {"Mon-1": 0, "Tue-2": None})], "id string, t map<string, bigint>")
-    tables = flatten(map_entries(df, "id", ["m"]).unionByName(map_entries(counts, "id", ["t"])), materialize)
+    tables = flatten(map_entries(df, "id", ["m"]).unionByName(map_entries(counts, "id", ["t"])).distinct())
     got = sorted((r["root"], r["path"]) for r in tables.leaves.where("record_id = 'b1'").collect())
     wanted = [("t", "Mon-1"), ("t", "Tue-2")]
     for key, text in values.items():
@@ -134,5 +133,33 @@ def test_flat_tables(spark):
 
 def test_flatten_nothing(spark):
     df = spark.createDataFrame([], "id string, m map<string, string>")
-    tables = flatten(map_entries(df, "id", ["m"]), materialize)
+    tables = flatten(map_entries(df, "id", ["m"]))
     assert tables.leaves.count() == 0 and tables.schema.count() == 0
+    assert tables.paths.count() == 0 and tables.child("m", "k.[]").count() == 0
+
+
+def test_child_table_of_an_array(spark):
+    values = {"menu": "[{'dish': 'a', 'prices': [1, 2]}, {'dish': 'b', 'hot': True, 'prices': []}, 'closed', {}]", "other": "[{'dish': 'z'}]"}
+    tables = flatten(map_entries(spark.createDataFrame([("b1", values), ("b2", {"menu": "[{'dish': 'c'}]"})], "id string, m map<string, string>"), "id", ["m"]))
+    menu = tables.child("m", "menu.[]").orderBy("record_id", "ordinal").collect()
+    assert [(r["record_id"], r["ordinal"], r["dish"], r["hot"], r["value"]) for r in menu] == [
+        ("b1", 0, "a", None, None), ("b1", 1, "b", "true", None), ("b1", 2, None, None, "closed"), ("b1", 3, None, None, None), ("b2", 0, "c", None, None),
+    ]
+    prices = tables.child("m", "menu.[].prices.[]").orderBy("ordinal").collect()
+    assert [(r["parent_key"], r["ordinal"], r["value"]) for r in prices] == [(menu[0]["row_key"], 0, "1"), (menu[0]["row_key"], 1, "2")]
+    assert len({r["row_key"] for r in menu + prices}) == 7
+    own = {r["record_id"]: r["row_key"] for r in tables.nodes.where("level = 0").select("record_id", "row_key").distinct().collect()}
+    assert all(r["parent_key"] == own[r["record_id"]] for r in menu)
+
+
+def test_any_depth_and_size(spark):
+    deep = "[" * 5000 + "{'a': 1}" + "]" * 5000
+    wide = "[" + ", ".join(f"'value {i:020}'" for i in range(1_700_000)) + "]"
+    assert len(wide) > 50_000_000
+    entries = spark.range(1).select(F.lit("b").alias("record_id"), F.lit("m").alias("root"), F.lit("deep").alias("key"), F.concat(F.repeat(F.lit("["), 5000), F.lit("{'a': 1}"), F.repeat(F.lit("]"), 5000)).alias("text"))
+    wide_entry = spark.range(1).select(F.lit("b").alias("record_id"), F.lit("m").alias("root"), F.lit("wide").alias("key"), F.concat(F.lit("["), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1_699_999)), lambda i: F.concat(F.lit("'value "), F.lpad(i.cast("string"), 20, "0"), F.lit("'"))), ", "), F.lit("]")).alias("text"))
+    assert entries.first()["text"] == deep
+    tables = flatten(entries.unionByName(wide_entry))
+    assert [r["path"] for r in tables.paths.where("path like 'deep%'").collect()] == ["deep" + ".0" * 5000 + ".a"]
+    counted = tables.paths.where("path like 'wide%'").agg(F.count(F.lit(1)), F.count_distinct("path")).first()
+    assert tuple(counted) == (1_700_000, 1_700_000)
