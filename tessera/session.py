@@ -36,6 +36,17 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(*written: DataFrame | str, spark: SparkSession | None = None) -> None:
+    """Deletes what ``materialize`` wrote, or a folder, where nothing reads it any more."""
+    for item in written:
+        session = spark or item.sparkSession
+        paths = [item] if isinstance(item, str) else {path.rsplit("/", 1)[0] for path in item.inputFiles()}
+        for path in paths:
+            if path.startswith(workspace(session)) or isinstance(item, str):
+                where = session._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(session._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def worker_cache() -> dict:
     """Dictionary that lives as long as the Python worker process."""
     module = sys.modules.setdefault("_tessera_worker_cache", types.ModuleType("_tessera_worker_cache"))
