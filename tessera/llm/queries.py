@@ -76,7 +76,7 @@ def p9_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """The stretches of each document that also stand in another one."""
-    return shared_spans(_documents(spark, folder), materialize)
+    return shared_spans(_documents(spark, folder))
 
 
 def p10_coverage(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators for training data against brute force."""
 
 import os
+import hashlib
 import random
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -230,26 +231,42 @@ def test_spans_against_brute_force(spark, monkeypatch, alphabet, gram, batches):
     texts = corpus(random.Random(11), 60, alphabet)
     texts += [(60, None), (61, ""), (62, "short"), (63, texts[5][1]), (64, "z" * 90), (65, "z" * 25), (66, "yx" * 60 + "yx" * 60), (67, texts[7][1] * 3)]
     df = spark.createDataFrame(texts, "doc_id bigint, text string").withColumn("fp", F.lit("clash"))
-    got = [tuple(r) for r in shared_spans.shared_spans(df, materialize, batches=batches, window=20, gram=gram).collect()]
+    got = [tuple(r) for r in shared_spans.shared_spans(df, batches=batches, window=20, gram=gram).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_spans(texts, 20)
 
 
 def test_one_text_shares_nothing_with_itself(spark):
     df = spark.createDataFrame([(1, "abcdefghij" * 60), (1, "abcdefghij" * 60), (None, "abcdefghij" * 60)], "doc_id bigint, text string")
-    assert shared_spans.shared_spans(df, materialize).count() == 0
-    assert shared_spans.shared_spans(df.limit(0), materialize).count() == 0
+    assert shared_spans.shared_spans(df).count() == 0
+    assert shared_spans.shared_spans(df.limit(0), batches=1).count() == 0
 
 
-def test_index_compacts_its_runs(spark):
-    index = shared_spans.FingerprintIndex(materialize, window=20, gram=10)
+def test_index_compacts_its_runs_and_opens_again(spark, tmp_path):
     texts = corpus(random.Random(3), 60, "abcdefgh")
-    new = []
+    whole, folder = spark.createDataFrame(texts, "doc_id bigint, text string"), f"file://{tmp_path}/index"
+    index = shared_spans.FingerprintIndex(whole, folder, window=20, gram=10, buckets=3)
     for i in range(6):
-        part = texts[i * 10 : i * 10 + 10]
-        new.append(index.add(spark.createDataFrame(part, "doc_id bigint, text string")).count())
-    assert [len(level) for level in index.levels] == [2, 1] and sum(new[1:]) > 0
-    whole = spark.createDataFrame(texts, "doc_id bigint, text string")
-    assert {tuple(r) for r in index.spans(whole).collect()} == brute_spans(texts, 20)
+        if i in (2, 5):  # another process goes on
+            index = shared_spans.FingerprintIndex(whole, folder)
+            assert (index.window, index.gram, index.buckets) == (20, 10, 3)
+        batch = index.add(whole.where((F.col("doc_id") >= i * 10) & (F.col("doc_id") < i * 10 + 10)))
+        seen = brute_spans(texts[: i * 10 + 10], 20)
+        assert {tuple(r) for r in index.spans().collect()} == seen
+        own = shared_spans._runs(index.batch_hits(batch).where(F.col("doc_id") >= i * 10), ["doc_id"])
+        assert {tuple(r) for r in own.collect()} == {s for s in seen if s[0] >= i * 10}
+    assert sorted(index.runs.values()) == [0, 0, 1]
+    with shared_spans._laid_out(spark):
+        plan = index.shared_with_history(next(run for run, level in index.runs.items() if not level))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Bucketed: true" in plan and "Sort [" not in plan
+
+
+def test_equal_texts_are_few_rows(spark):
+    texts = [(i, "the same passage of some length" if i % 3 else hashlib.sha256(str(i).encode()).hexdigest()) for i in range(600)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1)
+    found = shared_spans.fingerprint_run(df, 20, 10)
+    hot = found.where("fp IS NOT NULL").groupBy("fp").count().agg(F.max("count")).first()[0]
+    assert hot <= 3 and found.where("fp IS NULL").count() > 300
+    assert {tuple(r) for r in shared_spans.shared_spans(df, batches=2, window=20, gram=10).collect()} == brute_spans(texts, 20)
 
 
 def test_sliding_least():
