@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -126,3 +127,41 @@ def test_near_pairs(spark, monkeypatch, block):
 def test_no_places(spark):
     df = spark.createDataFrame([], "id string, lat double, lon double")
     assert spatial.near_pairs(df, 100.0, materialize).count() == 0
+
+
+def test_large_polygons_and_holes_keep_the_area():
+    draw = random.Random(5)
+    for k in (17, 60, 2000):
+        ring = np.array(star(draw, 10, 20, k, 0.01))
+        began = time.time()
+        corners = spatial.unit_vectors(*ring.T)[None]
+        x, y = (v[0] for v in spatial._in_plane(corners))
+        parts = spatial.ear_clip(corners)[0]
+        area = lambda t: abs((x[t] * np.roll(y[t], -1, -1) - np.roll(x[t], -1, -1) * y[t]).sum(axis=-1)) / 2
+        assert parts.shape == (k - 2, 3) and area(parts).sum() == pytest.approx(area(np.arange(k)), rel=1e-9) and time.time() - began < 20
+    x = np.array([0, 10, 10, 0, 2, 4, 4, 2, 6, 8, 7, 2, 3, 3], float)
+    y = np.array([0, 0, 10, 10, 2, 2, 4, 4, 6, 6, 8, 7, 7, 8], float)
+    ring = spatial.bridged(x, y, [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, 10], [11, 12, 13]])
+    parts = spatial.clip_one(x, y, ring)
+    each = abs((x[parts] * np.roll(y[parts], -1, 1) - np.roll(x[parts], -1, 1) * y[parts]).sum(axis=1)) / 2
+    assert each.sum() == pytest.approx(100 - 4 - 2 - 0.5)
+
+
+def test_regions_with_holes_and_shared_boundaries(spark):
+    box = lambda a, b, c, d: [{"lat": float(la), "lon": float(lo)} for la, lo in ((a, b), (a, d), (c, d), (c, b))]
+    ring = "array<struct<lat: double, lon: double>>"
+    r = spark.createDataFrame([("b", box(0, 0, 2, 2), [box(0.5, 0.5, 1, 1), None]), ("a", box(0, 2, 2, 4), []), ("c", box(10, 10, 11, 11), None), ("c", box(20, 20, 21, 21), None)], f"region_id string, ring {ring}, holes array<{ring}>")
+    p = spark.createDataFrame([("in", 1.5, 1.5), ("hole", 0.7, 0.7), ("border", 1.0, 2.0), ("part1", 10.5, 10.5), ("part2", 20.5, 20.5), ("out", 5.0, 5.0), ("null", None, 1.0)], "id string, lat double, lon double")
+    assert sorted(tuple(x) for x in spatial.assign_regions(r, p, materialize).collect()) == [("border", "a"), ("in", "b"), ("part1", "c"), ("part2", "c")]
+
+
+def test_a_crowded_spot_is_held_in_slices():
+    draw = np.random.default_rng(3)
+    centre = spatial.unit_vectors(10 + draw.uniform(0, 1e-4, 6000), 20 + draw.uniform(0, 1e-4, 6000))
+    corners = spatial.hexagons(centre, 100.0)
+    triangles = corners[np.arange(6000)[:, None, None], spatial.ear_clip(corners)].reshape(-1, 3, 3)
+    largest = pairs = 0
+    for who, which in spatial.Hierarchy(triangles).candidates(centre[:500]):
+        assert len(who) == len(which)
+        largest, pairs = max(largest, len(who)), pairs + len(who)
+    assert pairs > 5_000_000 and largest <= spatial.PAIRS_HELD
