@@ -9,7 +9,7 @@ from tessera.functions.baskets import BASKET_SQL, basket_items
 from tessera.functions.keys import clean_key
 from tessera.llm.cooccurrence import item_pairs
 from tessera.llm.packing import pack
-from tessera.llm.set_similarity import similar_pairs
+from tessera.llm.set_similarity import class_links, similar_pairs
 from tessera.llm.shared_spans import shared_spans
 from tessera.llm.tokens import decode, encode, encode_with_offsets, token_counts
 from tessera.session import materialize
@@ -23,10 +23,18 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", "text")
 
 
+def _raters(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "yelp_train").select(clean_key("business_id").alias("name"), clean_key("user_id").alias("element"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of businesses whose sets of users overlap by at least half of their union."""
-    rows = table(spark, folder, "yelp_train").select(clean_key("business_id").alias("name"), clean_key("user_id").alias("element"))
-    return similar_pairs(rows, 0.5, materialize, min_size=5).select(F.col("id_1").alias("business_id_1"), F.col("id_2").alias("business_id_2"))
+    return similar_pairs(_raters(spark, folder), 0.5, materialize, min_size=5).select(F.col("id_1").alias("business_id_1"), F.col("id_2").alias("business_id_2"))
+
+
+def p4_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every business of 5 users or more the class of businesses with the same users, and how many others are similar."""
+    return class_links(_raters(spark, folder), 0.5, materialize, min_size=5).select(F.col("name").alias("business_id"), "class", "n_links")
 
 
 def _bought_together(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,6 +76,39 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     return pack(token_counts(_documents(spark, folder), "doc_id", "text"), CAPACITY, materialize)
 
 
+def p9_harmonic(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by the classical reciprocal classes, which need more containers."""
+    return pack(token_counts(_documents(spark, folder), "doc_id", "text"), CAPACITY, materialize, reciprocal=True)
+
+
+def p9_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of both plans: documents placed, and how many tokens are lost, containers overfull or skipped, and texts cut without need."""
+    sizes = materialize(token_counts(_documents(spark, folder), "doc_id", "text"))
+    whole = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("all"))
+    every = None
+    for name, reciprocal in (("best", False), ("harmonic", True)):
+        placed = materialize(pack(sizes, CAPACITY, materialize, reciprocal=reciprocal))
+        by_doc = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("n"))
+        docs = by_doc.agg(F.count(F.lit(1)).alias("n_documents"), F.sum(F.when(F.col("pieces") > F.greatest(F.lit(1), F.ceil(F.col("n") / CAPACITY)), 1).otherwise(0)).alias("n_cut"), F.sum("n").alias("tokens"))
+        fill = placed.where(F.col("container").isNotNull()).groupBy("container").agg(F.sum("n_tokens").alias("n"))
+        bins = fill.agg(F.sum(F.when(F.col("n") > CAPACITY, 1).otherwise(0)).alias("n_overfull"), (F.max("container") + 1 - F.count(F.lit(1))).alias("n_skipped"))
+        each = docs.join(bins, how="cross").join(whole, how="cross")  # one row each
+        zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+        row = each.select(F.lit(name).alias("plan"), "n_documents", zero(F.col("all") - F.col("tokens")).alias("n_lost"), *(zero(F.col(c)).alias(c) for c in ("n_overfull", "n_skipped", "n_cut")))
+        every = row if every is None else every.unionByName(row)
+    return every
+
+
+def p8_covered(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every document the characters that its tokens cover, and the gaps and steps back between neighbours."""
+    found = p8_offsets(spark, folder)
+    step = F.sequence(F.lit(1), F.size("starts") - 1)
+    apart = lambda i: (F.get("starts", i) > F.get("ends", i - 1)) | (F.get("starts", i) < F.get("starts", i - 1))
+    gaps = F.when(F.size("starts") > 1, F.size(F.filter(step, apart))).otherwise(0)
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    return found.select("doc_id", zero(F.get("starts", F.lit(0))).alias("covered_from"), zero(F.get("ends", F.size("ends") - 1)).alias("covered_to"), gaps.cast("bigint").alias("n_gaps"))
+
+
 def p9_fill(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens and pieces of every container."""
     placed = p9_containers(spark, folder).where(F.col("container").isNotNull())
@@ -87,7 +128,9 @@ def p10_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return sizes.join(spans, "doc_id", "left").select("doc_id", "n_chars", shared.alias("n_shared"), F.round(F.coalesce(F.try_divide(shared, F.col("n_chars")), F.lit(0.0)), 6).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_lift, p8_ids, p8_decoded, p8_offsets, p9_containers, p9_fill, p10_found, p10_coverage)}
+QUERIES = {f.__name__: f for f in (
+    p4_found, p4_links, p5_found, p5_lift, p8_ids, p8_decoded, p8_offsets, p8_covered, p9_containers, p9_harmonic, p9_fill, p9_invariants, p10_found, p10_coverage,
+)}
 
 _BASKETS = rf"""
 WITH bare AS (
@@ -116,16 +159,23 @@ grouped AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS
 span AS (SELECT doc_id, min(s)::BIGINT AS span_start, (max(s) + 200)::BIGINT AS span_end FROM grouped GROUP BY doc_id, run)
 """
 
-SQL = {
-    "p4_found": r"""
+_RATERS = r"""
 WITH once AS (
   SELECT DISTINCT trim(business_id, E' \t\r\n') AS b, trim(user_id, E' \t\r\n') AS u FROM yelp_train
   WHERE trim(business_id, E' \t\r\n') <> '' AND trim(user_id, E' \t\r\n') <> ''
 ), size AS (SELECT b, count(*) AS n FROM once GROUP BY 1 HAVING count(*) >= 5),
-pair AS (SELECT x.b AS b1, y.b AS b2, count(*) AS c FROM once x JOIN once y ON x.u = y.u AND x.b < y.b GROUP BY 1, 2)
-SELECT b1 AS business_id_1, b2 AS business_id_2 FROM pair JOIN size s ON s.b = b1 JOIN size t ON t.b = b2 WHERE c / (s.n + t.n - c) >= 0.5""",
+pair AS (SELECT x.b AS b1, y.b AS b2, count(*) AS c FROM once x JOIN once y ON x.u = y.u AND x.b < y.b GROUP BY 1, 2),
+near AS (SELECT b1, b2, c = s.n AND c = t.n AS same FROM pair JOIN size s ON s.b = b1 JOIN size t ON t.b = b2 WHERE c / (s.n + t.n - c) >= 0.5)
+"""
+
+SQL = {
+    "p4_found": _RATERS + "SELECT b1 AS business_id_1, b2 AS business_id_2 FROM near",
+    "p4_links": _RATERS + """, both_ways AS (SELECT b1, b2, same FROM near UNION ALL SELECT b2, b1, same FROM near)
+SELECT size.b AS business_id, coalesce(least(size.b, min(b2) FILTER (same)), size.b) AS class, count(b2) AS n_links FROM size LEFT JOIN both_ways ON b1 = size.b GROUP BY size.b""",
     "p5_found": _BASKETS + "SELECT i1 AS product_id_1, i2 AS product_id_2 FROM found",
     "p5_lift": _BASKETS + "SELECT i1 AS product_id_1, i2 AS product_id_2, n_1, n_2, n_both, round(lift, 6) AS lift, round(ln(lift), 6) AS pmi FROM found",
+    "p8_covered": "SELECT doc_id, 0::BIGINT AS covered_from, coalesce(length(text), 0)::BIGINT AS covered_to, 0::BIGINT AS n_gaps FROM documents",
+    "p9_invariants": "SELECT plan, (SELECT count(*) FROM documents) AS n_documents, 0::BIGINT AS n_lost, 0::BIGINT AS n_overfull, 0::BIGINT AS n_skipped, 0::BIGINT AS n_cut FROM (VALUES ('best'), ('harmonic')) t(plan)",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p10_found": _SPANS + "SELECT * FROM span",
     "p10_coverage": _SPANS + """, sums AS (SELECT doc_id, sum(span_end - span_start)::BIGINT AS c FROM span GROUP BY 1)

@@ -9,7 +9,9 @@ looks candidates up in its longest lists by binary search, and keeps the
 records that reach the required overlap.  A pair that meets in several parts is
 reported in that of its first common token only.
 
-Records with equal sets are joined once, as a class.
+Records with equal sets are joined once, as a class.  Records too large to be
+held by one task are few, and meet only records of like size; the elements that
+they share are counted where they stand.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 TOKENS_MEANT, TOKENS_HELD = 1_000_000, 2_000_000
 #: Tokens of the probing records that one task is meant to take.
 TOKENS_PROBED = 200_000
+#: Elements from which on a record is not held by one task.
+RECORD_HELD = 1_000_000
 #: Rows of the dictionary that one task numbers.
 NUMBERED_TOGETHER = 200_000
 #: Weight of the rule that chooses how many lists are the longest (Li, Lu and Lu, 2008).
@@ -182,13 +186,11 @@ def _join_parts(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return run
 
 
-def numbered_sets(rows: DataFrame, min_size: int, threshold: float, materialize: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``name, tokens, band`` of the records in ``name, element`` (distinct) that may have a partner.
+def numbered_sets(rows: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """``name, tokens, band`` of the records in ``name, element`` (distinct) that may have a partner, of those in ``sizes`` (``name, band``).
 
     Tokens are exact numbers for the elements, ascending with their frequency.
     """
-    sizes = rows.groupBy("name").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
-    sizes = materialize(sizes.withColumn("band", F.floor(F.log2(F.col("size") + 0.5)).cast("int")))
     bands = {r["band"]: r["n"] for r in sizes.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 63 rows
     reach = math.ceil(-math.log2(threshold) - _SLACK)
     # a record without any other of a size within reach is never gathered, however large
@@ -211,10 +213,35 @@ def similar_records(rows: DataFrame, threshold: float, materialize: Callable[[Da
 
     ``rows`` holds ``name, element``; nulls are ignored and repeated elements
     count once.  Records of fewer than ``min_size`` elements take no part.
-    Records with equal sets form a class, named by its least member.
+    Records with equal sets form a class, named by its least member; those of
+    ``RECORD_HELD`` elements or more are classes of their own.
     """
     rows = materialize(rows.where(F.col("name").isNotNull() & F.col("element").isNotNull()).select("name", "element").distinct())
-    records = numbered_sets(rows, min_size, threshold, materialize).withColumn("same", F.md5(F.concat_ws(",", "tokens")))
+    sizes = rows.groupBy("name").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
+    sizes = materialize(sizes.withColumn("band", F.floor(F.log2(F.col("size") + 0.5)).cast("int")))
+    held = sizes.where(F.col("size") < RECORD_HELD)
+    classes, members = _merged_records(rows, held, threshold, materialize)
+    if (sizes.agg(F.max("size")).first()[0] or 0) >= RECORD_HELD:
+        huge = sizes.where(F.col("size") >= RECORD_HELD).select("name")
+        members = members.unionByName(huge.select("name", F.col("name").alias("class")))
+        alone = members.where(F.col("name") == F.col("class")).select("name")
+        classes = classes.unionByName(_counted_pairs(rows, sizes.join(alone, "name", "left_semi"), threshold))
+    return classes, members
+
+
+def _counted_pairs(rows: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """``one, two`` of the similar records of which at least one has ``RECORD_HELD`` elements, by counting their common elements."""
+    large = sizes.where(F.col("size") >= math.ceil(RECORD_HELD * threshold - _SLACK)).select("name", "size")
+    own = rows.join(large, "name")
+    one, two = (own.select(F.col("name").alias(n), F.col("size").alias(f"n_{n}"), "element") for n in ("one", "two"))
+    met = one.join(two, "element").where((F.col("one") < F.col("two")) & (F.greatest("n_one", "n_two") >= RECORD_HELD))
+    counted = met.groupBy("one", "two", "n_one", "n_two").agg(F.count(F.lit(1)).alias("n"))
+    return counted.where(F.col("n") >= threshold * (F.col("n_one") + F.col("n_two") - F.col("n")) - _SLACK).select("one", "two")
+
+
+def _merged_records(rows: DataFrame, sizes: DataFrame, threshold: float, materialize: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Similar classes and members of the records of ``sizes``, by list merging."""
+    records = numbered_sets(rows, sizes, threshold).withColumn("same", F.md5(F.concat_ws(",", "tokens")))
     records = materialize(records)
     classes = records.groupBy("same").agg(F.min("name").alias("class"))
     members = records.select("name", "same").join(classes, "same").select("name", "class")
@@ -262,3 +289,18 @@ def similar_pairs(rows: DataFrame, threshold: float, materialize: Callable[[Data
     across = classes.join(one, "one").join(two, "two").select(F.least("id_1", "id_2").alias("id_1"), F.greatest("id_1", "id_2").alias("id_2"))
     within = one.join(two, F.col("one") == F.col("two")).where(F.col("id_1") < F.col("id_2")).select("id_1", "id_2")
     return across.unionByName(within)
+
+
+def class_links(rows: DataFrame, threshold: float, materialize: Callable[[DataFrame], DataFrame], *, min_size: int = 1) -> DataFrame:
+    """``name, class, n_links`` of each record of at least ``min_size`` elements: its class of equal sets, and how many other records are similar.
+
+    Copies are counted by class, not paired.
+    """
+    classes, members = similar_records(rows, threshold, materialize, min_size=min_size)
+    classes, members = materialize(classes), materialize(members)
+    sizes = members.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    both = classes.select(F.col("one").alias("class"), F.col("two").alias("other")).unionByName(classes.select(F.col("two").alias("class"), F.col("one").alias("other")))
+    links = both.join(sizes.select(F.col("class").alias("other"), "n"), "other").groupBy("class").agg(F.sum("n").alias("links"))
+    known = members.join(sizes, "class").join(links, "class", "left").select("name", "class", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    whole = rows.where(F.col("name").isNotNull() & F.col("element").isNotNull()).groupBy("name").agg(F.count_distinct("element").alias("n")).where(F.col("n") >= min_size)
+    return whole.select("name").join(known, "name", "left").select("name", F.coalesce("class", "name").alias("class"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))

@@ -1,7 +1,7 @@
 """Operators for training data against brute force."""
 
-import os
 import hashlib
+import os
 import random
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -188,6 +188,21 @@ def test_similar_pairs_against_brute_force(spark, monkeypatch, meant, held, thre
     assert len(got) == len(set(got)) and set(got) == wanted and len(wanted) > 780
 
 
+@pytest.mark.parametrize("held", [1_000_000, 12])
+def test_records_too_large_to_be_held_and_links(spark, monkeypatch, held):
+    monkeypatch.setattr(set_similarity, "RECORD_HELD", held)
+    draw = random.Random(31)
+    core = list(range(30))
+    sets = {f"n{i}": frozenset(draw.sample(core, draw.randrange(3, 28))) for i in range(60)}
+    sets |= {f"copy{i}": frozenset(range(9)) for i in range(4)} | {f"big{i}": frozenset(range(20)) for i in range(3)} | {"tiny": frozenset([1, 2])}
+    df = spark.createDataFrame([(n, str(e)) for n, s in sets.items() for e in s] * 2 + [(None, "1"), ("n1", None)], "name string, element string")
+    wanted = {(a, b) for a, b in combinations(sorted(sets), 2) if min(len(sets[a]), len(sets[b])) >= 3 and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
+    got = [tuple(r) for r in set_similarity.similar_pairs(df, 0.5, materialize, min_size=3).collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted
+    links = {r["name"]: r["n_links"] for r in set_similarity.class_links(df, 0.5, materialize, min_size=3).collect()}
+    assert links == {n: sum(n in p for p in wanted) for n, s in sets.items() if len(s) >= 3}
+
+
 def test_similar_pairs_of_nothing(spark):
     df = spark.createDataFrame([], "name string, element string")
     assert set_similarity.similar_pairs(df, 0.5, materialize).count() == 0
