@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.keys import clean_key, month_name, month_number
 from tessera.operators.bitmaps import Bitmap
+from tessera.session import materialize
 
 #: End of a presence that has not ended.
 OPEN_END = "9999-12-31 00:00:00"
@@ -115,7 +116,7 @@ def orphan_references(references: Sequence[Reference], parents: Sequence[Parent]
     Repeated rows give one result.  Empty parents make every reference missing.
     """
     spark = references[0].df.sparkSession
-    total = sum(x.df.count() for x in [*references, *parents])  # from the Parquet footers
+    total = sum(df.count() for df in {id(x.df): x.df for x in [*references, *parents]}.values())  # from the Parquet footers
     ranges = max(8, total // ROWS_PER_RANGE)
     key_range = F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int").alias("key_range")
     rows = None
@@ -136,7 +137,8 @@ def orphan_references(references: Sequence[Reference], parents: Sequence[Parent]
         used.groupBy("parent", "key_range").cogroup(held.groupBy("parent", "key_range"))
         .applyInArrow(_survivors, "what int, key string, period int, since array<timestamp_ntz>, until array<timestamp_ntz>")
     )
-    found = rows.join(suspects, ["what", "key", "period"])
+    # written, so that their size is known: few enough are sent to the rows, which then stay where they are
+    found = rows.join(materialize(suspects), ["what", "key", "period"])
     at = F.col("at")
     present = F.exists(F.arrays_zip("since", "until"), lambda x: (x["since"] <= at) & (at < x["until"]))
     reason = (
