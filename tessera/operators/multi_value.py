@@ -11,6 +11,9 @@ How a field is read:
 * Blanks around the field have no meaning.  A field in square brackets is a
   list: both ``"`` and ``'`` quote, a backslash escapes.  Elsewhere only ``"``
   quotes, and two quotes within quotes stand for one.
+* A quote opens only where a value begins and closes only where one ends, at a
+  delimiter or the end; any other quote is a character of its value.  A quote
+  that is never closed quotes to the end of the field.
 * A delimiter outside quotes separates.  Each value loses blanks around it, a
   leading ``u`` before a quoted list element, its quotes and its escapes.
 * Empty pieces aren't counted; positions are 1, 2, ...
@@ -35,36 +38,69 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 
 
-def _inside_quotes(data: np.ndarray, row: np.ndarray, starts: np.ndarray, bracket: np.ndarray) -> np.ndarray:
-    """Whether each byte is within quotes, the quotes themselves counted as within."""
-    n, size = len(starts), len(data)
+def _inside_quotes(data: np.ndarray, row: np.ndarray, starts: np.ndarray, ends: np.ndarray, bracket: np.ndarray, is_delimiter: np.ndarray) -> np.ndarray:
+    """Whether each byte is within quotes, the quotes themselves counted as within.
+
+    A quote may open only where a value begins and close only where one ends.
+    Of most rows all such quotes open and close in turn, and their parity tells;
+    the others are read quote by quote.
+    """
+    size = len(data)
+    at = np.arange(size)
     double, single = data == 34, (data == 39) & bracket[row]
     if bracket.any() and (slash := data == 92).any():
         # a quote after an odd number of backslashes is escaped, in lists
-        at = np.arange(size)
         last_other = np.maximum.accumulate(np.where(slash, -1, at))
         run = np.r_[0, (at - last_other)[:-1]]
         escaped = (run % 2 == 1) & bracket[row]
         double, single = double & ~escaped, single & ~escaped
-    has_double = np.zeros(n, bool)
-    has_double[row[double]] = True
-    has_single = np.zeros(n, bool)
-    has_single[row[single]] = True
-    mixed = has_double & has_single
-    quote = (double | single) & ~mixed[row]
-    if mixed.any():
-        quote |= _opening_or_closing(data, np.flatnonzero((double | single) & mixed[row]), row)
-    count = np.cumsum(quote)
+    quote = double | single
+    if not quote.any():
+        return quote
+    # two quotes in a row stand for one, outside lists: of an odd run the first opens or the last closes
+    doubled = double & ~bracket[row]
+    before = np.r_[False, doubled[:-1] & (row[1:] == row[:-1])]
+    first = np.maximum.accumulate(np.where(doubled & ~before, at, -1))
+    after = np.r_[doubled[1:] & (row[1:] == row[:-1]), False]
+    last = np.minimum.accumulate(np.where(doubled & ~after, at, size)[::-1])[::-1]
+    even = doubled & ((last - first) % 2 == 1)
+    # the next byte to either side that is no blank, where a delimiter is none
+    hard = ~_BLANK[data] | is_delimiter[data]
+    left = np.r_[-1, np.maximum.accumulate(np.where(hard, at, -1))[:-1]]
+    right = np.r_[np.minimum.accumulate(np.where(hard, at, size)[::-1])[::-1][1:], size]
+    inner_start, inner_end = (starts + bracket)[row], (ends - bracket)[row]
+    begins = lambda place, prior: (prior < inner_start[place]) | is_delimiter[data[np.maximum(prior, 0)]]
+    opens = begins(at, left)
+    prefix = bracket[row] & np.r_[False, np.isin(data[:-1], (117, 85))] & (at - 1 >= inner_start)
+    opens |= prefix & np.r_[False, opens[:-1]]
+    closes = (right >= inner_end) | is_delimiter[data[np.minimum(right, size - 1)]]
+    opens &= ~before & ~even
+    closes &= ~after & ~even
+    place = np.flatnonzero(quote & (opens | closes))
+    if not len(place):
+        return np.zeros(size, bool)
+    of = row[place]
+    new = np.r_[True, of[1:] != of[:-1]]
+    group = np.cumsum(new) - 1
+    turn = np.arange(len(place)) - np.flatnonzero(new)[group]
+    fits = np.where(turn % 2 == 0, opens[place], closes[place])
+    same = np.r_[True, (data[place[1:]] == data[place[:-1]])] | (turn % 2 == 0)  # a quote closes only its own kind
+    regular = np.bincount(group, fits & same) == np.bincount(group)
+    real = np.zeros(size, bool)
+    real[place[regular[group]]] = True
+    odd = ~regular[group]
+    if odd.any():
+        real |= _opening_or_closing(data, place[odd], row, opens, closes)
+    count = np.cumsum(real)
     base = np.r_[0, count][starts]
-    before = count - quote - base[row]
-    return quote | (before % 2 == 1)
+    return real | ((count - real - base[row]) % 2 == 1)
 
 
-def _opening_or_closing(data: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Of rows that hold both kinds of quotes, the quotes that open or close a value.
+def _opening_or_closing(data: np.ndarray, at: np.ndarray, row: np.ndarray, opens: np.ndarray, closes: np.ndarray) -> np.ndarray:
+    """Of the quotes ``at`` those that open or close a value, row by row from the left.
 
-    A quote closes only its own kind, so the k-th quotes of all rows are taken
-    together, one step for each k.
+    The k-th quotes of all rows are taken together, one step for each k.  A
+    quote that opens and is never closed quotes to the end of the field.
     """
     rows, first, counts = np.unique(row[at], return_index=True, return_counts=True)
     real = np.zeros(len(data), bool)
@@ -75,7 +111,7 @@ def _opening_or_closing(data: np.ndarray, at: np.ndarray, row: np.ndarray) -> np
         live = int(np.searchsorted(-counts, -k, "left"))  # rows with more than k quotes
         place = at[first[:live] + k]
         kind, now = data[place], open_with[:live]
-        acts = (now == 0) | (now == kind)
+        acts = np.where(now == 0, opens[place], (now == kind) & closes[place])
         real[place[acts]] = True
         open_with[:live] = np.where(acts, np.where(now == 0, kind, 0), now)
     return real
@@ -125,9 +161,9 @@ def split_array(texts: pa.Array, delimiters: str) -> pa.ListArray:
     filled = ends > starts
     bracket = np.zeros(n, bool)
     bracket[filled] = (data[starts[filled]] == 91) & (data[ends[filled] - 1] == 93) & (ends[filled] - starts[filled] > 1)
-    inside = _inside_quotes(data, row, starts, bracket)
     is_delimiter = np.zeros(256, bool)
     is_delimiter[[ord(c) for c in delimiters]] = True
+    inside = _inside_quotes(data, row, starts, ends, bracket, is_delimiter)
     cut = np.flatnonzero(is_delimiter[data] & ~inside)
     # pieces: from the row's start (after its bracket) or a delimiter to the next one
     inner_start, inner_end = starts + bracket, ends - bracket

@@ -18,6 +18,8 @@ CATEGORIES = [
     ('["A", "B; c"]', ["A", "B; c"]), ("['A', \"Kids' x, y\"]", ["A", "Kids' x, y"]), ('["say \\"hi\\"", "b"]', ['say "hi"', "b"]), ("[u'A', u'B']", ["A", "B"]),
     ("Kids' A, Men's B", ["Kids' A", "Men's B"]), (",A,,B,", ["A", "B"]), ('"A"', ["A"]), ('"A",', ["A"]), ("Bed & Breakfast", ["Bed & Breakfast"]),
     ("None", []), ("none", []), ("N/A", []), ("[]", []), ("-", []), ("", []), ("   ", []), (None, []), ("['None']", []), ("Café|Crêperies", ["Café", "Crêperies"]), ("A,A", ["A", "A"]),
+    ('5" pipes, Tools, Food', ['5" pipes', "Tools", "Food"]), ("[Men's Clothing, Food, Bars]", ["Men's Clothing", "Food", "Bars"]), ('5" , 6"', ['5"', '6"']), ('"A, x", 5" pipe, "B; y"', ["A, x", '5" pipe', "B; y"]),
+    ('"open, never', ['"open, never']), ('a "b, c" d, e', ['a "b', 'c" d', "e"]), ('"a""b, c", d', ['a"b, c', "d"]), ("[it's, 'a, b', \"c, d\"]", ["it's", "a, b", "c, d"]), ('""', []),
     ('["Caf\\u00e9"]', ["Café"]), ("A,  B ", ["A", "B"]), (",,;", []), ("['it\\'s', \"b\"]", ["it's", "b"]), ('"a" "b", c', ['a" "b', "c"]),
 ]
 
