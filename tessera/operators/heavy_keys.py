@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Blocks into which a key's value range is cut for exact percentiles.
-BLOCKS = 1024
+from tessera.session import materialize
+
+#: Ranges between quantiles of a field's values, and the parts of each: the blocks of exact percentiles.
+RANGES, PARTS = 64, 16
 
 
 def compress(df: DataFrame, keys: Mapping[str, Column], value: Column) -> DataFrame:
@@ -53,13 +55,17 @@ def key_percentiles(weighted: DataFrame, percentiles: Sequence[float]) -> DataFr
 
     Exact: the smallest value at which the cumulated weight reaches the share p
     of the key's weight; nulls don't count.  A key's values are first summed by
-    blocks of the field's value range, so that no sort holds more than
-    ``BLOCKS`` rows of a key or one block of its distinct values.
+    blocks, so that no sort holds more than the blocks of a key or one block of
+    its distinct values.  Blocks are parts of ranges between quantiles of the
+    field's values, so that outliers don't crowd all others into one.
     """
     values = weighted.where(F.col("value").isNotNull() & F.col("key_value").isNotNull())
-    ends = values.groupBy("field").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    span = F.col("high") - F.col("low")
-    block = F.when(span > 0, F.least(F.lit(BLOCKS - 1), F.floor((F.col("value") - F.col("low")) / span * BLOCKS))).otherwise(F.lit(0))
+    quantiles = F.percentile_approx("value", [i / RANGES for i in range(RANGES + 1)])
+    ends = values.groupBy("field").agg(quantiles.alias("ends"))  # a row per field
+    own = F.greatest(F.lit(1), F.size(F.filter("ends", lambda e: e <= F.col("value"))))  # the range that holds the value, from 1
+    low, high = F.get("ends", own - 1), F.get("ends", own)
+    part = F.when(high > low, F.floor((F.col("value") - low) / (high - low) * PARTS))
+    block = (own - 1) * PARTS + F.coalesce(F.greatest(F.lit(0), F.least(F.lit(PARTS - 1), part)), F.lit(0))
     placed = values.join(F.broadcast(ends), "field").select("field", "key_value", block.cast("int").alias("block"), "value", "weight")
     key = ["field", "key_value"]
     sums = placed.groupBy(*key, "block").agg(F.sum("weight").alias("in_block"))
@@ -83,7 +89,7 @@ def key_percentiles(weighted: DataFrame, percentiles: Sequence[float]) -> DataFr
 
 def key_profile(df: DataFrame, keys: Mapping[str, Column], value: Column, percentiles: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Totals and percentiles of each key that is not null; see the two functions above."""
-    weighted = compress(df, keys, value)
+    weighted = materialize(compress(df, keys, value))
     totals = key_totals(weighted).where(F.col("key_value").isNotNull())
     return totals.join(key_percentiles(weighted, percentiles), ["field", "key_value"], "left")
 
