@@ -14,13 +14,15 @@ def candidate_pairs(rows: DataFrame, least: int) -> DataFrame:
     the common order of all elements, the rare ones first; sets that share
     ``least`` elements share one of the first ``size - least + 1``.  So the most
     frequent elements, whose groups would be the largest, pair nothing unless a
-    set consists of them.
+    set consists of them.  Found are the ``least - 1`` last ones of each set:
+    every task keeps no more of a set before the shuffle, however large it is.
     """
-    frequency = rows.groupBy("element").agg(F.count(F.lit(1)).alias("f"))
-    order = W.partitionBy("name").orderBy("f", "element")
-    size = F.count(F.lit(1)).over(W.partitionBy("name"))
-    ranked = rows.join(frequency, "element").select("name", "element", F.row_number().over(order).alias("rank"), size.alias("size"))
-    prefix = ranked.where(F.col("rank") <= F.col("size") - least + 1)
+    prefix = rows.select("name", "element")
+    if least > 1:
+        frequency = rows.groupBy("element").agg(F.count(F.lit(1)).alias("f"))
+        order = W.partitionBy("name").orderBy(F.desc("f"), F.desc("element"))
+        last = prefix.join(frequency, "element").withColumn("rank", F.row_number().over(order)).where(F.col("rank") < least)
+        prefix = prefix.join(last.select("name", "element"), ["name", "element"], "left_anti")
     one, two = prefix.select(F.col("name").alias("one"), "element"), prefix.select(F.col("name").alias("two"), "element")
     return one.join(two, "element").where(F.col("one") < F.col("two")).select("one", "two").distinct()
 
