@@ -29,6 +29,11 @@ def bloom_rates(stream: DataFrame, bits: int, hashes: Sequence[tuple[int, int]]
     a batch has no new key.  Null keys are ignored.
     """
     first = stream.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(F.struct("pos", "batch")).alias("f")).select("key", "f.pos", "f.batch")
+    return rates_of_first(first, stream.select("batch").distinct(), bits, hashes, modulus)
+
+
+def rates_of_first(first: DataFrame, every: DataFrame, bits: int, hashes: Sequence[tuple[int, int]] = BLOOM_HASHES, modulus: int = BLOOM_MODULUS) -> DataFrame:
+    """``bloom_rates`` from where each key came first (``key, pos, batch``) and all batches (``batch``)."""
     x = text_number(F.col("key"), modulus)
     bit = linear_hash(F.col("x"), F.col("h.a"), F.col("h.b"), modulus, bits)
     placed = first.withColumn("x", x).withColumn("h", F.explode(family_column(list(hashes)))).select("key", "pos", "batch", bit.alias("bit"))
@@ -36,7 +41,6 @@ def bloom_rates(stream: DataFrame, bits: int, hashes: Sequence[tuple[int, int]]
     decided = placed.join(since, "bit").groupBy("key", "pos", "batch").agg(F.max("since").alias("ready"))
     flags = decided.select("batch", (F.col("ready") < F.col("pos")).cast("bigint").alias("false"))
     by = flags.groupBy("batch").agg(F.sum("false").alias("n_false"), F.sum(1 - F.col("false")).alias("n_true"))
-    every = stream.select("batch").distinct()
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     return every.join(by, "batch", "left").select("batch", zero("n_false"), zero("n_true"), F.try_divide("n_false", F.col("n_false") + F.col("n_true")).alias("rate"))
 
@@ -62,6 +66,15 @@ def distinct_per_batch(stream: DataFrame) -> DataFrame:
     return stream.groupBy("batch").agg(F.count_distinct("key").alias("n_distinct"))
 
 
+def slot_writers(stream: DataFrame, size: int, seed: int) -> DataFrame:
+    """``batch, slot, last``: of the slots that a batch writes the last position and key."""
+    n = F.col("pos") - size + 1
+    later = F.col("pos") >= size
+    kept = ~later | (draw(F.col("pos"), seed) < F.lit(float(size)) / (n + size))
+    slot = F.when(later, F.floor(draw(F.col("pos"), seed + 1) * size)).otherwise(F.col("pos")).cast("int")
+    return stream.where(kept).groupBy("batch", slot.alias("slot")).agg(F.max(F.struct("pos", "key")).alias("last"))
+
+
 def reservoir(stream: DataFrame, size: int, seed: int) -> DataFrame:
     """``seqnum, slot, value``: what each slot of the sample holds after each batch of ``size`` elements.
 
@@ -69,12 +82,13 @@ def reservoir(stream: DataFrame, size: int, seed: int) -> DataFrame:
     with probability ``size / (size + n)`` and replaces a slot drawn evenly.  A
     slot holds its latest writer.  Positions must be 0, 1, 2, ...
     """
-    n = F.col("pos") - size + 1
-    later = F.col("pos") >= size
-    kept = ~later | (draw(F.col("pos"), seed) < F.lit(float(size)) / (n + size))
-    slot = F.when(later, F.floor(draw(F.col("pos"), seed + 1) * size)).otherwise(F.col("pos")).cast("int")
-    writes = stream.where(kept).groupBy("batch", slot.alias("slot")).agg(F.max_by("key", "pos").alias("value"))
-    grid = stream.select("batch").distinct().withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    return slots_over_time(slot_writers(stream, size, seed), stream.select("batch").distinct(), size)
+
+
+def slots_over_time(writers: DataFrame, every: DataFrame, size: int) -> DataFrame:
+    """``seqnum, slot, value`` of the writers of slots and all batches."""
+    writes = writers.select("batch", "slot", F.col("last.key").alias("value"))
+    grid = every.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
     order = W.partitionBy("slot").orderBy("batch")
     filled = grid.join(writes, ["batch", "slot"], "left").withColumn("value", F.last("value", ignorenulls=True).over(order))
     return filled.select(((F.col("batch") + 1) * size).alias("seqnum"), "slot", "value")

@@ -52,6 +52,14 @@ def reservoir_report(spark: SparkSession, folder: str) -> DataFrame:
     return sinks.reservoir_report(reservoir_slots(spark, folder))
 
 
+def bloom_report(spark: SparkSession, folder: str) -> DataFrame:
+    return sinks.fpr_report(bloom_fpr(spark, folder))
+
+
+def estimate_report(spark: SparkSession, folder: str) -> DataFrame:
+    return sinks.estimate_report(batch_distinct(spark, folder), fm_estimate(spark, folder))
+
+
 def stream_bloom_fpr(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(sketches.bloom_rates(_stream(spark, folder), BITS))
 
@@ -92,11 +100,15 @@ def bfr_rounds(spark: SparkSession, folder: str) -> DataFrame:
     return cluster.bfr(_points(spark, folder), N_CLUSTERS, materialize).rounds
 
 
+def bfr_report(spark: SparkSession, folder: str) -> DataFrame:
+    return sinks.cluster_report(bfr_rounds(spark, folder))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        bloom_fpr, fm_estimate, batch_distinct, reservoir_slots, reservoir_report, stream_bloom_fpr, stream_fm_estimate, stream_batch_distinct, stream_reservoir_slots,
-        cluster_stats, mahalanobis_assign, bfr_labels, bfr_rounds,
+        bloom_fpr, fm_estimate, batch_distinct, reservoir_slots, reservoir_report, bloom_report, estimate_report, stream_bloom_fpr, stream_fm_estimate, stream_batch_distinct, stream_reservoir_slots,
+        cluster_stats, mahalanobis_assign, bfr_labels, bfr_rounds, bfr_report,
     )
 }
 
@@ -121,7 +133,12 @@ SELECT (g.batch + 1) * {RESERVOIR} AS seqnum, g.slot, last_value(k IGNORE NULLS)
 _STATS = """WITH x AS (SELECT vec_id AS id, label::BIGINT AS cluster, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1)::INT - 1 AS dim FROM embeddings),
 s AS (SELECT cluster, dim, count(*) AS n, sum(x) AS total, sum(x * x) AS squares FROM x GROUP BY 1, 2)"""
 
+_SHOWN = ", ".join(f'max(value) FILTER (slot = {i}) AS "{i}_id"' for i in (0, 20, 40, 60, 80))
+
 SQL = {
+    "reservoir_report": f"SELECT seqnum, {_SHOWN} FROM ({_RESERVOIR}) GROUP BY 1",
+    "bloom_report": f'SELECT batch AS "Time", coalesce(rate, 0)::DOUBLE AS "FPR" FROM ({_BLOOM})',
+    "estimate_report": f'SELECT t.batch AS "Time", n AS "Ground Truth", coalesce(estimate, 0) AS "Estimation" FROM (SELECT event_id // {BATCH} AS batch, count(DISTINCT user_id) AS n FROM events GROUP BY 1) t LEFT JOIN ({_FM}) f ON f.batch = t.batch',
     "bloom_fpr": _BLOOM,
     "stream_bloom_fpr": _BLOOM,
     "fm_estimate": _FM,

@@ -92,13 +92,16 @@ class _DrawnLinesReader(SimpleDataSourceStreamReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.path, self.seed = options["path"], int(options.get("seed", 0))
         self.size, self.batches = int(options.get("size", 100)), int(options.get("batches", 10))
+        self.lines: list[str] | None = None
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"batch": 0}
 
     def _batch(self, number: int) -> list[tuple[int, int, str]]:
-        with open(self.path, encoding="utf-8") as file:
-            lines = file.read().splitlines()
+        if self.lines is None:  # once for the stream
+            with open(self.path, encoding="utf-8") as file:
+                self.lines = file.read().splitlines()
+        lines = self.lines
         draw = random.Random(f"{self.seed}/{number}")
         return [(number * self.size + i, number, draw.choice(lines)) for i in range(self.size)] if lines else []
 

@@ -17,8 +17,8 @@ def write_json_document(one_row: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Headered CSV, quoted where a value needs it."""
-    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    """Headered CSV, quoted where a value needs it; blanks are kept."""
+    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def quoted_members(items: Column) -> Column:
@@ -52,3 +52,31 @@ def betweenness_report(edges: DataFrame) -> DataFrame:
 def reservoir_report(slots: DataFrame, shown: tuple[int, ...] = (0, 20, 40, 60, 80)) -> DataFrame:
     """``seqnum, 0_id, 20_id, ...`` of ``seqnum, slot, value``."""
     return slots.groupBy("seqnum").agg(*(F.max(F.when(F.col("slot") == s, F.col("value"))).alias(f"{s}_id") for s in shown)).orderBy("seqnum")
+
+
+def fpr_report(rates: DataFrame) -> DataFrame:
+    """``Time, FPR`` of ``batch, rate``: 0 where a batch has no new key."""
+    return rates.select(F.col("batch").alias("Time"), F.coalesce("rate", F.lit(0.0)).alias("FPR")).orderBy("Time")
+
+
+def estimate_report(truth: DataFrame, estimates: DataFrame) -> DataFrame:
+    """``Time, Ground Truth, Estimation`` of ``batch, n_distinct`` and ``batch, estimate``."""
+    both = truth.join(estimates, "batch", "left")
+    return both.select(F.col("batch").alias("Time"), F.col("n_distinct").alias("Ground Truth"), F.coalesce("estimate", F.lit(0)).alias("Estimation")).orderBy("Time")
+
+
+def itemset_sections(candidates: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``section, size, line``: the lines of both reports, the candidates first."""
+    both = [itemset_report(df).select(F.lit(name).alias("section"), "size", "line") for name, df in (("Candidates", candidates), ("Frequent Itemsets", frequent))]
+    return both[0].unionByName(both[1]).orderBy("section", "size")
+
+
+def cluster_report(rounds: DataFrame) -> DataFrame:
+    """``line`` of each round: points of the main clusters, compressed sets, points in them, retained points."""
+    text = F.concat(F.lit("Round "), F.col("round").cast("string"), F.lit(": "), F.concat_ws(",", *(F.col(c).cast("string") for c in ("n_main", "n_sets", "n_compressed", "n_retained"))))
+    return rounds.orderBy("round").select("round", text.alias("line"))
+
+
+def show(df: DataFrame, n: int = 10) -> None:
+    """Prints the first ``n`` rows, values in full."""
+    df.show(n, truncate=False)

@@ -6,19 +6,13 @@ are those of the set forms there.
 
 from __future__ import annotations
 
-import pickle
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessera.functions.hashing import BLOOM_HASHES, BLOOM_MODULUS, SKETCH_MODULUS, SKETCH_RANGE, draw, family_column, linear_hash, text_number
-from tessera.operators.sketch import distinct_estimates
+from tessera.functions.hashing import BLOOM_HASHES, BLOOM_MODULUS, SKETCH_MODULUS, SKETCH_RANGE, family_column, linear_hash, text_number
+from tessera.operators.sketch import distinct_estimates, rates_of_first, slot_writers, slots_over_time
 from tessera.session import workspace
 
 
@@ -51,62 +45,59 @@ def stream_of(spark: SparkSession, folder: str, name: str, position: str, key: s
     return source.select(F.col(position).alias("pos"), F.floor(F.col(position) / size).cast("bigint").alias("batch"), F.col(key).cast("string").alias("key"))
 
 
-def distinct_counts(stream: DataFrame) -> DataFrame:
-    """``batch, n_distinct``: a keyed aggregation, spread over batches and keys."""
-    pairs = stream.where(F.col("key").isNotNull()).groupBy("batch", "key").agg(F.count(F.lit(1)).alias("n"))
-    return run_to_end(pairs, "complete").groupBy("batch").agg(F.count(F.lit(1)).alias("n_distinct"))
+# Streaming DataFrames, to be written in update mode: what they give for a key
+# replaces what they gave before, so that a batch costs only what it changes.
 
 
-def estimates(stream: DataFrame, family: list[tuple[int, int]]) -> DataFrame:
-    """``batch, estimate`` of Flajolet and Martin: the state is one maximum per batch and hash function."""
+def first_positions(stream: DataFrame) -> DataFrame:
+    """``key, f``: the position and batch at which each key came first; null is a key.  The state is a row per key, spread by key."""
+    return stream.groupBy("key").agg(F.min(F.struct("pos", "batch")).alias("f"))
+
+
+def batch_keys(stream: DataFrame) -> DataFrame:
+    """``batch, key, n``: the keys of each batch."""
+    return stream.groupBy("batch", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def most_zeros(stream: DataFrame, family: list[tuple[int, int]]) -> DataFrame:
+    """``batch, number, zeros``: the state is one maximum per batch and hash function."""
     x = text_number(F.col("key"), SKETCH_MODULUS)
     each = stream.where(F.col("key").isNotNull()).select("batch", x.alias("x")).withColumn("h", F.explode(family_column(family)))
     binary = F.bin(linear_hash(F.col("x"), F.col("h.a"), F.col("h.b"), SKETCH_MODULUS, SKETCH_RANGE))
     zeros = F.length(binary) - F.length(F.rtrim(binary, F.lit("0")))
-    return distinct_estimates(run_to_end(each.groupBy("batch", F.col("h.number").alias("number")).agg(F.max(zeros).alias("zeros")), "complete"))
+    return each.groupBy("batch", F.col("h.number").alias("number")).agg(F.max(zeros).alias("zeros"))
+
+
+# The same run over all that is there, with the results of the set forms.
+
+
+def distinct_counts(stream: DataFrame) -> DataFrame:
+    """``batch, n_distinct``."""
+    return run_to_end(batch_keys(stream), "update").groupBy("batch").agg(F.count_distinct("key").alias("n_distinct"))
+
+
+def estimates(stream: DataFrame, family: list[tuple[int, int]]) -> DataFrame:
+    """``batch, estimate`` of Flajolet and Martin."""
+    written = run_to_end(most_zeros(stream, family), "update")
+    return distinct_estimates(written.groupBy("batch", "number").agg(F.max("zeros").alias("zeros")))
+
+
+def _batches(stream: DataFrame) -> DataFrame:
+    return run_to_end(stream.groupBy("batch").agg(F.count(F.lit(1)).alias("n")), "update").select("batch").distinct()
 
 
 def bloom_rates(stream: DataFrame, bits: int, hashes=BLOOM_HASHES, modulus: int = BLOOM_MODULUS) -> DataFrame:
-    """``batch, n_false, n_true, rate`` of a filter kept as streaming state.
+    """``batch, n_false, n_true, rate`` of a filter that lives as long as the stream.
 
-    The filter is one state: exact order needs one task.  Its size is fixed, but
-    a stream beyond one task's speed should use the set form.
+    Which bits were set when a key came first follows from where the keys came
+    first, so no task holds the filter or all keys.
     """
-    x = text_number(F.col("key"), modulus)
-    number = [linear_hash(x, F.lit(a), F.lit(b), modulus, bits).alias(f"b{i}") for i, (a, b) in enumerate(hashes)]
-    coded = stream.where(F.col("key").isNotNull()).select(F.lit(0).alias("one"), "pos", "batch", "key", *number)
-    n_hashes = len(hashes)
-
-    def step(_key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        field, seen = pickle.loads(state.get[0]) if state.exists else (np.zeros(bits, bool), set())
-        rows = pd.concat(list(parts)).sort_values("pos")
-        out: dict[int, list[int]] = {}
-        for batch, name, *places in rows[["batch", "key", *(f"b{i}" for i in range(n_hashes))]].itertuples(index=False):
-            counts = out.setdefault(batch, [0, 0])
-            if name not in seen:
-                counts[0 if field[places].all() else 1] += 1
-                seen.add(name)
-            field[places] = True
-        state.update((pickle.dumps((field, seen)),))
-        yield pd.DataFrame([(b, *c) for b, c in out.items()], columns=["batch", "n_false", "n_true"])
-
-    counted = coded.groupBy("one").applyInPandasWithState(step, "batch bigint, n_false bigint, n_true bigint", "filter binary", "append", GroupStateTimeout.NoTimeout)
-    sums = run_to_end(counted).groupBy("batch").agg(F.sum("n_false").alias("n_false"), F.sum("n_true").alias("n_true"))
-    return sums.withColumn("rate", F.try_divide("n_false", F.col("n_false") + F.col("n_true")))
+    written = run_to_end(first_positions(stream), "update").where(F.col("key").isNotNull())
+    first = written.groupBy("key").agg(F.min("f").alias("f")).select("key", "f.pos", "f.batch")
+    return rates_of_first(first, _batches(stream), bits, hashes, modulus)
 
 
 def reservoir(stream: DataFrame, size: int, seed: int) -> DataFrame:
-    """``seqnum, slot, value`` after each batch; the state of a slot is its latest writer.
-
-    Slots are the keys of the state, so they spread over tasks.
-    """
-    n = F.col("pos") - size + 1
-    later = F.col("pos") >= size
-    kept = ~later | (draw(F.col("pos"), seed) < F.lit(float(size)) / (n + size))
-    slot = F.when(later, F.floor(draw(F.col("pos"), seed + 1) * size)).otherwise(F.col("pos")).cast("int")
-    writes = stream.where(kept).groupBy("batch", slot.alias("slot")).agg(F.max_by("key", "pos").alias("value"))
-    written = run_to_end(writes, "complete")
-    last = run_to_end(stream.agg(F.max("batch").alias("last")), "complete")
-    grid = last.select(F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("batch")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-    filled = grid.join(written, ["batch", "slot"], "left").withColumn("value", F.last("value", ignorenulls=True).over(W.partitionBy("slot").orderBy("batch")))
-    return filled.select(((F.col("batch") + 1) * size).alias("seqnum"), "slot", "value")
+    """``seqnum, slot, value`` after each batch; the state is the latest writer of each slot that a batch writes."""
+    written = run_to_end(slot_writers(stream, size, seed), "update")
+    return slots_over_time(written.groupBy("batch", "slot").agg(F.max("last").alias("last")), _batches(stream), size)
