@@ -61,8 +61,13 @@ def indicators(df: DataFrame, keep: Sequence[str], labels: Column, vocabulary: S
     return df.select(*keep, *(flag(name).alias(f"{prefix}{i}") for i, name in enumerate(vocabulary, 1)))
 
 
-def _counts(df: DataFrame, value: Column, name: str) -> DataFrame:
-    return df.groupBy("business_id").agg(value.alias(name))
+def _counted(sums: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
+    """``business_id`` and the sum of each value over its table, null where a business has no row there: one shuffle for all tables."""
+    parts = None
+    for name, (df, value) in sums.items():
+        part = df.select("business_id", *(value.cast("bigint").alias(n) if n == name else F.lit(None).cast("bigint").alias(n) for n in sums))
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.groupBy("business_id").agg(*(F.sum(n).alias(n) for n in sums))
 
 
 def basic_features(pairs: DataFrame, business: DataFrame, user: DataFrame, tips: DataFrame, photos: DataFrame, checkins: DataFrame) -> DataFrame:
@@ -72,10 +77,7 @@ def basic_features(pairs: DataFrame, business: DataFrame, user: DataFrame, tips:
     unknown users an average of 3.
     """
     item = business.select("business_id", F.col("stars").alias("item_stars"), F.col("review_count").alias("item_reviews"))
-    for part in (
-        _counts(tips, F.count(F.lit(1)), "n_tips"), _counts(photos, F.count(F.lit(1)), "n_photos"), _counts(checkins, F.sum(map_total(F.col("time"))), "n_checkins"),
-    ):
-        item = item.join(part, "business_id", "full")
+    item = item.join(_counted({"n_tips": (tips, F.lit(1)), "n_photos": (photos, F.lit(1)), "n_checkins": (checkins, map_total(F.col("time")))}), "business_id", "full")
     rows = pairs.join(item, "business_id", "left").join(user.select("user_id", F.col("average_stars").alias("user_average")), "user_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     return rows.select(
@@ -85,12 +87,14 @@ def basic_features(pairs: DataFrame, business: DataFrame, user: DataFrame, tips:
 
 
 def full_features(
-    pairs: DataFrame, business: DataFrame, user: DataFrame, tips: DataFrame, photos: DataFrame, checkins: DataFrame, vocabulary: Sequence[str],
+    pairs: DataFrame, business: DataFrame, user: DataFrame, tips: DataFrame, photos: DataFrame, checkins: DataFrame, vocabulary: Sequence[str], *, fallback: float | None = 3.5,
 ) -> DataFrame:
     """All features for each ``user_id, business_id, ...`` of ``pairs``.
 
-    Unknown stars and averages are 3.5, unknown review counts the mean of the
-    known ones of ``pairs``, all else 0.  A business's tip score sums the
+    Unknown stars and averages are ``fallback``; without one, as for pairs that
+    are to be predicted, unknown stars are the user's average and an unknown
+    average is the mean of the known users'.  Unknown review counts are the mean
+    of the known ones of ``pairs``, all else 0.  A business's tip score sums the
     keywords and exclamation marks of all its tips.
     """
     labels = F.split("categories", ", ")
@@ -99,24 +103,30 @@ def full_features(
         true_entries(F.col("attributes")).alias("n_true"), words_or_zero(F.col("categories"), " ").alias("category_words"), size_or_zero(F.col("hours")).alias("n_hours"),
         *(F.coalesce(F.array_contains(labels, v), F.lit(False)).cast("int").alias(f"category_{i}") for i, v in enumerate(vocabulary, 1)),
     )
-    for part in (
-        tips.groupBy("business_id").agg(F.sum(keyword_score(F.col("text")) + exclamations(F.col("text"))).alias("tip_score"), F.sum("likes").alias("tip_likes")),
-        _counts(photos, F.count(F.lit(1)), "n_photos"), _counts(checkins, F.sum(map_total(F.col("time"))), "n_checkins"),
-    ):
-        item = item.join(part, "business_id", "full")
+    item = item.join(_counted({
+        "tip_score": (tips, keyword_score(F.col("text")) + exclamations(F.col("text"))), "tip_likes": (tips, F.col("likes")), "n_photos": (photos, F.lit(1)), "n_checkins": (checkins, map_total(F.col("time"))),
+    }), "business_id", "full")
     person = user.select(
         "user_id", F.col("average_stars").alias("user_average"), F.col("review_count").alias("user_reviews"),
         words_or_zero(F.col("friends"), ",").alias("n_friends"), years_since(F.col("yelping_since")).alias("years"),
         *(F.col(c).alias(f"user_{c}") for c in USER_COUNTS), *(F.col(f"compliment_{c}").alias(f"user_{c}_compliments") for c in COMPLIMENTS),
     )
     rows = pairs.join(item, "business_id", "left").join(person, "user_id", "left")
-    means = rows.agg(F.avg("item_reviews").alias("mean_item_reviews"), F.avg("user_reviews").alias("mean_user_reviews"))  # one row
-    rows = rows.withColumns({c: means.select(c).scalar() for c in means.columns})
+
+    def mean_over_pairs(key: str, known: DataFrame) -> Column:
+        """Of a value of each known business or user, the mean over the pairs: weighted by their number, without the pairs themselves."""
+        weighed = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("w")).join(known.select(key, F.col("review_count").alias("v")), key).where(F.col("v").isNotNull())
+        return weighed.agg(F.try_divide(F.sum(F.col("w") * F.col("v")).cast("double"), F.sum("w"))).scalar()
+
+    rows = rows.withColumns({"mean_item_reviews": mean_over_pairs("business_id", business), "mean_user_reviews": mean_over_pairs("user_id", user)})
+    if fallback is None:
+        rows = rows.withColumn("user_average", F.coalesce("user_average", user.agg(F.avg("average_stars")).scalar(), F.lit(3.5)))
+        rows = rows.withColumn("item_stars", F.coalesce("item_stars", "user_average"))
     of_item = ["n_true", "category_words", "n_hours", "tip_score", "tip_likes", "n_photos", "n_checkins", "n_friends", "years", *(f"category_{i}" for i in range(1, len(vocabulary) + 1))]
     counts = [*of_item, *(f"user_{c}" for c in USER_COUNTS), *(f"user_{c}_compliments" for c in COMPLIMENTS)]
     return rows.select(
         *pairs.columns,
-        *(F.coalesce(c, F.lit(3.5)).alias(c) for c in ("item_stars", "user_average")),
+        *(F.coalesce(c, F.lit(fallback or 3.5)).alias(c) for c in ("item_stars", "user_average")),
         F.coalesce(F.col("item_reviews").cast("double"), "mean_item_reviews").alias("item_reviews"), F.coalesce(F.col("user_reviews").cast("double"), "mean_user_reviews").alias("user_reviews"),
         *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("latitude", "longitude")),
         *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts),

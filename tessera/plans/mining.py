@@ -96,34 +96,46 @@ def feature_table_basic(spark: SparkSession, folder: str) -> DataFrame:
     return features.basic_features(*_feature_inputs(spark, folder)).withColumn("rating", F.round("rating", 6))
 
 
-def _full(spark: SparkSession, folder: str) -> DataFrame:
+def _vocabulary(spark: SparkSession, folder: str) -> list[str]:
     top = features.top_labels(views.businesses(spark, folder), F.split("categories", ", "), 20)
-    vocabulary = [r["label"] for r in top.collect()]  # 20 rows
-    return features.full_features(*_feature_inputs(spark, folder), vocabulary)
+    return [r["label"] for r in top.collect()]  # 20 rows
 
 
 def feature_table_full(spark: SparkSession, folder: str) -> DataFrame:
     rounded = {c: F.round(c, 6) for c in ("rating", "item_reviews", "user_reviews", "latitude", "longitude")}
-    return _full(spark, folder).withColumns(rounded)
+    return features.full_features(*_feature_inputs(spark, folder), _vocabulary(spark, folder)).withColumns(rounded)
 
 
 _NOT_FEATURES = {"user_id", "business_id", "rating", "n_photos", "n_friends", "years", "tip_likes"}
 
 
 def gbt_rating(spark: SparkSession, folder: str) -> DataFrame:
-    """Ratings predicted by boosted trees from all features."""
-    rows = materialize(_full(spark, folder))
-    used = [c for c in rows.columns if c not in _NOT_FEATURES]
-    return recommend.boosted_trees(rows, rows, used, "rating").select("user_id", "business_id", "rating", "prediction")
+    """The ratings that were held out, as boosted trees on all features of the others predict them."""
+    pairs, *rest = _feature_inputs(spark, folder)
+    train, test = recommend.held_out(pairs, ["user_id", "business_id"])
+    labels = _vocabulary(spark, folder)
+    known = materialize(features.full_features(train, *rest, labels))
+    asked = materialize(features.full_features(test, *rest, labels, fallback=None))
+    used = [c for c in known.columns if c not in _NOT_FEATURES]
+    return recommend.boosted_trees(known, asked, used, "rating").select("user_id", "business_id", "rating", "prediction")
+
+
+def gbt_error(spark: SparkSession, folder: str) -> DataFrame:
+    """Errors of the boosted trees on the held-out ratings: the histogram, and the root mean square error beside each bin."""
+    rmse, bins = relational.error_histogram(materialize(gbt_rating(spark, folder)), "rating", "prediction")
+    return bins.withColumn("rmse", rmse.select(F.round("rmse", 6)).scalar())
 
 
 def hybrid_trees(spark: SparkSession, folder: str) -> DataFrame:
-    """The hybrid with boosted trees on the six basic features."""
-    rows = materialize(features.basic_features(*_feature_inputs(spark, folder)))
+    """The held-out pairs by the hybrid of the other ratings, with boosted trees on the six basic features."""
+    pairs, *rest = _feature_inputs(spark, folder)
+    train, test = recommend.held_out(pairs, ["user_id", "business_id"])
+    known, asked = materialize(features.basic_features(train, *rest)), materialize(features.basic_features(test, *rest))
     used = ["item_stars", "item_reviews", "n_tips", "n_photos", "n_checkins", "user_average"]
-    model = recommend.boosted_trees(rows, rows, used, "rating", iterations=5).select(F.col("user_id").alias("user"), F.col("business_id").alias("item"), "prediction")
-    ratings = materialize(views.ratings(spark, folder))
-    return recommend.hybrid(ratings.select("user", "item"), ratings, _similarities(ratings, hybrid=True), model)
+    named = {"user_id": "user", "business_id": "item"}
+    model = recommend.boosted_trees(known, asked, used, "rating").withColumnsRenamed(named).select("user", "item", "prediction")
+    ratings = known.withColumnsRenamed(named).select("user", "item", "rating")
+    return recommend.hybrid(model.select("user", "item"), ratings, _similarities(ratings, hybrid=True), model)
 
 
 def _residuals(spark: SparkSession, folder: str) -> DataFrame:
@@ -196,7 +208,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         minhash_signature, lsh_candidates, lsh_pairs, item_mean, user_mean, pearson_similarity, cf_predict, hybrid_switch, feature_table_basic, feature_table_full, gbt_rating,
-        hybrid_trees, rmse_histogram, graph_edges, graph_directed, graph_degree, components, bfs_levels, edge_betweenness, betweenness_report, modularity_of_partition,
+        gbt_error, hybrid_trees, rmse_histogram, graph_edges, graph_directed, graph_degree, components, bfs_levels, edge_betweenness, betweenness_report, modularity_of_partition,
         label_propagation, community_report, girvan_newman,
     )
 }
@@ -241,7 +253,29 @@ dist AS (SELECT source, vertex, min(distance) AS distance FROM reach GROUP BY 1,
 walk AS (SELECT source, vertex, 0 AS distance, 1::HUGEINT AS paths FROM dist WHERE distance = 0
   UNION ALL (SELECT w.source, s.dst, w.distance + 1, sum(w.paths)::HUGEINT FROM walk w JOIN s ON s.src = w.vertex JOIN dist d ON d.source = w.source AND d.vertex = s.dst AND d.distance = w.distance + 1 GROUP BY 1, 2, 3))"""
 
+def _propagation(rounds: int) -> str:
+    """Of each round the votes of the neighbours and, of the most frequent labels, the least."""
+    steps = [", l0 AS (SELECT DISTINCT src AS vertex, src AS label FROM s)"]
+    for i in range(rounds):
+        steps.append(f"n{i} AS (SELECT s.src AS vertex, label, count(*) AS n FROM s JOIN l{i} ON l{i}.vertex = s.dst GROUP BY 1, 2)")
+        steps.append(f"l{i + 1} AS (SELECT vertex, label FROM n{i} QUALIFY row_number() OVER (PARTITION BY vertex ORDER BY n DESC, label) = 1)")
+    return ", ".join(steps)
+
+
+_BETWEENNESS = _edges_sql(LINK) + _WALKS + """,
+id AS MATERIALIZED (SELECT vertex, row_number() OVER (ORDER BY vertex)::INT AS i FROM vx),
+w AS MATERIALIZED (SELECT a.i AS s, b.i AS v, distance::INT AS d, paths::DOUBLE AS p FROM walk JOIN id a ON a.vertex = source JOIN id b ON b.vertex = walk.vertex),
+link AS MATERIALIZED (SELECT a.i AS x, b.i AS y FROM s JOIN id a ON a.vertex = src JOIN id b ON b.vertex = dst),
+step AS MATERIALIZED (SELECT w.s, x, y, w.d + 1 AS d, w.p FROM w JOIN link ON x = w.v JOIN w n ON n.s = w.s AND n.v = y AND n.d = w.d + 1),
+part AS (SELECT step.x, step.y, sum(step.p * b.p / w.p) AS c FROM step JOIN w b ON b.s = step.y JOIN w ON w.s = step.s AND w.v = b.v AND w.d = step.d + b.d GROUP BY 1, 2),
+found AS (SELECT a.vertex AS src, b.vertex AS dst, round(sum(c) / 2, 5) AS betweenness FROM part JOIN id a ON a.i = least(x, y) JOIN id b ON b.i = greatest(x, y) GROUP BY 1, 2)
+"""
+_Q = "''" * 2
+
 SQL = {
+    "label_propagation": _edges_sql(LINK) + _propagation(LPA_ROUNDS) + f" SELECT * FROM l{LPA_ROUNDS}",
+    "community_report": _edges_sql(LINK) + _propagation(LPA_ROUNDS) + f" SELECT string_agg({_Q} || vertex || {_Q}, ', ' ORDER BY vertex) AS line FROM l{LPA_ROUNDS} GROUP BY label",
+    "betweenness_report": _BETWEENNESS + f" SELECT '(' || {_Q} || src || {_Q} || ', ' || {_Q} || dst || {_Q} || '),' || betweenness AS line FROM found",
     "minhash_signature": _SIGNATURES + " SELECT item, number, least FROM sig",
     "lsh_candidates": _SIGNATURES + """, band AS (SELECT item, number // 2 AS band, string_agg(least::VARCHAR, '-' ORDER BY number) AS bucket FROM sig GROUP BY 1, 2)
 SELECT DISTINCT a.item AS one, b.item AS two FROM band a JOIN band b ON a.band = b.band AND a.bucket = b.bucket AND a.item < b.item""",
@@ -276,13 +310,7 @@ SELECT least(4, floor(abs(e)))::INT AS error_from, count(*) AS n, (SELECT round(
     "components": _edges_sql(LINK) + """, comp AS (SELECT DISTINCT src AS vertex, src AS label FROM s UNION SELECT s.dst, comp.label FROM comp JOIN s ON s.src = comp.vertex)
 SELECT vertex, min(label) AS component FROM comp GROUP BY 1""",
     "bfs_levels": _edges_sql(LINK) + _WALKS + " SELECT source, vertex, distance, paths::BIGINT AS paths FROM walk",
-    "edge_betweenness": _edges_sql(LINK) + _WALKS + """,
-id AS MATERIALIZED (SELECT vertex, row_number() OVER (ORDER BY vertex)::INT AS i FROM vx),
-w AS MATERIALIZED (SELECT a.i AS s, b.i AS v, distance::INT AS d, paths::DOUBLE AS p FROM walk JOIN id a ON a.vertex = source JOIN id b ON b.vertex = walk.vertex),
-link AS MATERIALIZED (SELECT a.i AS x, b.i AS y FROM s JOIN id a ON a.vertex = src JOIN id b ON b.vertex = dst),
-step AS MATERIALIZED (SELECT w.s, x, y, w.d + 1 AS d, w.p FROM w JOIN link ON x = w.v JOIN w n ON n.s = w.s AND n.v = y AND n.d = w.d + 1),
-part AS (SELECT step.x, step.y, sum(step.p * b.p / w.p) AS c FROM step JOIN w b ON b.s = step.y JOIN w ON w.s = step.s AND w.v = b.v AND w.d = step.d + b.d GROUP BY 1, 2)
-SELECT a.vertex AS src, b.vertex AS dst, round(sum(c) / 2, 5) AS betweenness FROM part JOIN id a ON a.i = least(x, y) JOIN id b ON b.i = greatest(x, y) GROUP BY 1, 2""",
+    "edge_betweenness": _BETWEENNESS + " SELECT * FROM found",
     "modularity_of_partition": _edges_sql(LINK) + """, k AS (SELECT src AS vertex, count(*) AS k, ascii(right(src, 1)) % 2 AS c FROM s GROUP BY ALL), m AS (SELECT count(*)::DOUBLE AS m FROM e),
 i AS (SELECT ascii(right(src, 1)) % 2 AS c, count(*) AS l FROM e WHERE ascii(right(src, 1)) % 2 = ascii(right(dst, 1)) % 2 GROUP BY 1), kc AS (SELECT c, sum(k) AS k FROM k GROUP BY 1)
 SELECT round(sum(coalesce(l, 0) / m.m - power(kc.k / (2 * m.m), 2)), 6) AS modularity FROM kc LEFT JOIN i USING (c), m""",
