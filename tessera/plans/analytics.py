@@ -47,6 +47,11 @@ def city_rating_top10(spark: SparkSession, folder: str) -> DataFrame:
     return city_rating(spark, folder).where(F.col("city").isNotNull()).orderBy(F.desc("stars"), "city").limit(TOP)
 
 
+def city_rating_sorted(spark: SparkSession, folder: str) -> DataFrame:
+    """All cities, the best first."""
+    return city_rating(spark, folder).orderBy(F.desc("stars"), "city")
+
+
 def partition_histogram(spark: SparkSession, folder: str) -> DataFrame:
     """Reviews by partition when placed by the first character of the business."""
     rows = views.reviews(spark, folder).where(F.col("business_id").isNotNull()).select("business_id")
@@ -178,28 +183,40 @@ def itemset_report(spark: SparkSession, folder: str) -> DataFrame:
     return sinks.itemset_report(found.withColumn("items", F.col("items").cast("array<string>")))
 
 
-def son_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """The itemsets of every size that are frequent within one of four parts of the baskets."""
+def _two_passes(spark: SparkSession, folder: str) -> tuple[DataFrame, int, DataFrame]:
+    """The baskets, the support, and the itemsets that are frequent within one of four parts of the baskets."""
     baskets = materialize(_transactions(spark, folder))
+    support = _support(baskets, SUPPORT_SHARE)
     parted = baskets.withColumn("part", (F.substring_index("basket", "-", -1).cast("bigint") % PARTS).cast("int"))
-    return itemsets.son_candidates(parted, _support(baskets, SUPPORT_SHARE), PARTS, materialize).select(F.array_join(F.col("items").cast("array<string>"), " ").alias("items"))
+    return baskets, support, itemsets.son_candidates(parted, support, PARTS, materialize)
+
+
+def son_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """The itemsets of every size that are frequent within one of four parts of the baskets."""
+    return _two_passes(spark, folder)[2].select(F.array_join(F.col("items").cast("array<string>"), " ").alias("items"))
 
 
 def son_frequent(spark: SparkSession, folder: str) -> DataFrame:
     """The frequent itemsets by both passes: the candidates of the parts, counted over all baskets."""
-    baskets = materialize(_transactions(spark, folder))
-    support = _support(baskets, SUPPORT_SHARE)
-    parted = baskets.withColumn("part", (F.substring_index("basket", "-", -1).cast("bigint") % PARTS).cast("int"))
-    candidates = materialize(itemsets.son_candidates(parted, support, PARTS, materialize))
-    return _spelled(itemsets.count_candidates(baskets, candidates, support, materialize))
+    baskets, support, candidates = _two_passes(spark, folder)
+    return _spelled(itemsets.count_candidates(baskets, materialize(candidates), support, materialize))
+
+
+def itemset_sections(spark: SparkSession, folder: str) -> DataFrame:
+    """The report of both passes: the lines of the candidates and those of the frequent itemsets."""
+    baskets, support, candidates = _two_passes(spark, folder)
+    candidates = materialize(candidates)
+    frequent = itemsets.count_candidates(baskets, candidates, support, materialize)
+    text = lambda df: df.select(F.col("items").cast("array<string>").alias("items"))
+    return sinks.itemset_sections(text(candidates), text(frequent))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        review_profile, review_profile_document, top_users, top_items, city_rating, city_rating_top10, partition_histogram, partition_histogram_default, json_props, map_sum,
+        review_profile, review_profile_document, top_users, top_items, city_rating, city_rating_top10, city_rating_sorted, partition_histogram, partition_histogram_default, json_props, map_sum,
         keyword_score, exclamation_count, category_top, category_indicators, semi_valid_items, left_default, last_value_per_key, basket_build, basket_size_filter,
-        transaction_etl, itemsets_l1, itemsets_l2, itemsets_l3, itemsets_all, itemsets_by_growth, itemset_report, son_candidates, son_frequent,
+        transaction_etl, itemsets_l1, itemsets_l2, itemsets_l3, itemsets_all, itemsets_by_growth, itemset_report, itemset_sections, son_candidates, son_frequent,
     )
 }
 
@@ -208,7 +225,7 @@ _CITY = _V("b", "r") + """, m AS (SELECT lower(trim(city)) AS city, round(sum(r.
 _TOP20 = _V("b") + """, label AS (SELECT business_id, unnest(string_split(categories, ', ')) AS label FROM b),
 top20 AS (SELECT label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, label) AS rank FROM label GROUP BY label ORDER BY n DESC, label LIMIT 20)"""
 _WORDS = ", ".join(f"'{w}'" for w in features.KEYWORDS)
-_T = rf"""WITH RECURSIVE bare AS (SELECT translate(date_customer_id, E'"'' \t\r\n', '') AS t, product_id AS item FROM customer_product),
+TRANSACTIONS = rf"""WITH RECURSIVE bare AS (SELECT translate(date_customer_id, E'"'' \t\r\n', '') AS t, product_id AS item FROM customer_product),
 k AS (SELECT DISTINCT {BASKET_SQL} AS basket, item FROM bare WHERE t <> '' AND item IS NOT NULL),
 big AS (SELECT basket FROM k GROUP BY 1 HAVING count(*) > {MORE_ITEMS_THAN}),
 s AS (SELECT greatest(2, ceil(count(DISTINCT basket) * {SUPPORT_SHARE})::BIGINT) AS s FROM k),
@@ -222,12 +239,28 @@ l4 AS (SELECT i1, i2, i3, item AS i4, count(*) AS n FROM o3 JOIN f ON f.basket =
 every AS (SELECT 1 AS size, item::VARCHAR AS items, n FROM l1 UNION ALL SELECT 2, i1 || ' ' || i2, n FROM l2 UNION ALL SELECT 3, i1 || ' ' || i2 || ' ' || i3, n FROM l3
   UNION ALL SELECT 4, i1 || ' ' || i2 || ' ' || i3 || ' ' || i4, n FROM l4)
 """
+#: Candidates of every size: occurrences of a basket's itemsets that are frequent within its part.
+_HELD = f""", q AS (SELECT *, string_split(basket, '-')[-1]::BIGINT % {PARTS} AS part FROM k), t AS (SELECT ceil(s / {PARTS}) AS t FROM s),
+c1 AS (SELECT part, item FROM q GROUP BY ALL HAVING count(*) >= (SELECT t FROM t)),
+g AS MATERIALIZED (SELECT q.* FROM q SEMI JOIN c1 ON c1.part = q.part AND c1.item = q.item),
+held AS (SELECT part, basket, item AS last, item::VARCHAR AS items FROM g
+  UNION ALL SELECT part, basket, last, items FROM (
+    SELECT held.part, held.basket, g.item AS last, items || ' ' || g.item AS items, count(*) OVER (PARTITION BY held.part, items, g.item) AS n
+    FROM held JOIN g ON g.basket = held.basket AND g.part = held.part AND g.item > held.last) WHERE n >= (SELECT t FROM t))
+"""
+#: The lines of a report of the itemsets in the table that is named.
+_LINES = """, line AS (SELECT len(string_split(items, ' '))::INT AS size, string_agg('(''' || replace(items, ' ', ''', ''') || ''')', ',' ORDER BY string_split(items, ' ')) AS line FROM {0} GROUP BY 1)
+"""
 
 SQL = {
     "review_profile": _V("r") + f" SELECT count(*) AS n_review, count(*) FILTER (year(date) = {YEAR}) AS n_review_year, count(DISTINCT user_id) AS n_user, count(DISTINCT business_id) AS n_business FROM r",
     "top_users": _V("r") + f" SELECT user_id, count(*) AS n FROM r WHERE user_id IS NOT NULL GROUP BY 1 ORDER BY n DESC, user_id LIMIT {TOP}",
     "top_items": _V("r") + f" SELECT business_id, count(*) AS n FROM r WHERE business_id IS NOT NULL GROUP BY 1 ORDER BY n DESC, business_id LIMIT {TOP}",
     "city_rating": _CITY + " SELECT * FROM m",
+    "city_rating_sorted": _CITY + " SELECT * FROM m ORDER BY stars DESC NULLS LAST, city NULLS FIRST",
+    "itemset_report": TRANSACTIONS + _LINES.format("every") + "SELECT * FROM line",
+    "itemset_sections": TRANSACTIONS + _HELD + ", c AS (SELECT DISTINCT items FROM held)" + _LINES.format("c") + ", other" + _LINES.format("every").removeprefix(", line")
+    + "SELECT 'Candidates' AS section, * FROM line UNION ALL SELECT 'Frequent Itemsets', * FROM other",
     "city_rating_top10": _CITY + f" SELECT * FROM m WHERE city IS NOT NULL ORDER BY stars DESC NULLS LAST, city LIMIT {TOP}",
     "partition_histogram": _V("r") + f""", n AS (SELECT (ascii(business_id) % {PARTITIONS})::INT AS partition, count(*) AS c FROM r WHERE business_id IS NOT NULL GROUP BY 1)
 SELECT x.partition::INT AS partition, coalesce(c, 0) AS n_items FROM range({PARTITIONS}) AS x(partition) LEFT JOIN n ON n.partition = x.partition""",
@@ -243,19 +276,12 @@ SELECT x.partition::INT AS partition, coalesce(c, 0) AS n_items FROM range({PART
     "last_value_per_key": _V("b") + " SELECT business_id, stars, review_count FROM b",
     "basket_build": _V("v") + """ SELECT "user" AS basket, count(*) AS n_items, 'user' AS by FROM v GROUP BY 1 UNION ALL SELECT item, count(*), 'item' FROM v GROUP BY 1""",
     "basket_size_filter": _V("v") + f""" SELECT "user" AS basket, item FROM v SEMI JOIN (SELECT "user" FROM v GROUP BY 1 HAVING count(*) > {MORE_ITEMS_THAN}) USING ("user")""",
-    "transaction_etl": _T + "SELECT basket, item FROM k SEMI JOIN big USING (basket)",
-    "itemsets_l1": _T + "SELECT * FROM every WHERE size = 1",
-    "itemsets_l2": _T + "SELECT * FROM every WHERE size = 2",
-    "itemsets_l3": _T + "SELECT * FROM every WHERE size = 3",
-    "itemsets_all": _T + "SELECT * FROM every",
-    "itemsets_by_growth": _T + "SELECT * FROM every",
-    "son_frequent": _T + "SELECT * FROM every",
-    "son_candidates": _T + f""", q AS (SELECT *, string_split(basket, '-')[-1]::BIGINT % {PARTS} AS part FROM k), t AS (SELECT ceil(s / {PARTS}) AS t FROM s),
-c1 AS (SELECT part, item FROM q GROUP BY ALL HAVING count(*) >= (SELECT t FROM t)),
-g AS MATERIALIZED (SELECT q.* FROM q SEMI JOIN c1 ON c1.part = q.part AND c1.item = q.item),
-held AS (SELECT part, basket, item AS last, item::VARCHAR AS items FROM g
-  UNION ALL SELECT part, basket, last, items FROM (
-    SELECT held.part, held.basket, g.item AS last, items || ' ' || g.item AS items, count(*) OVER (PARTITION BY held.part, items, g.item) AS n
-    FROM held JOIN g ON g.basket = held.basket AND g.part = held.part AND g.item > held.last) WHERE n >= (SELECT t FROM t))
-SELECT DISTINCT items FROM held""",
+    "transaction_etl": TRANSACTIONS + "SELECT basket, item FROM k SEMI JOIN big USING (basket)",
+    "itemsets_l1": TRANSACTIONS + "SELECT * FROM every WHERE size = 1",
+    "itemsets_l2": TRANSACTIONS + "SELECT * FROM every WHERE size = 2",
+    "itemsets_l3": TRANSACTIONS + "SELECT * FROM every WHERE size = 3",
+    "itemsets_all": TRANSACTIONS + "SELECT * FROM every",
+    "itemsets_by_growth": TRANSACTIONS + "SELECT * FROM every",
+    "son_frequent": TRANSACTIONS + "SELECT * FROM every",
+    "son_candidates": TRANSACTIONS + _HELD + "SELECT DISTINCT items FROM held",
 }

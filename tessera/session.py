@@ -10,11 +10,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_MADE: set[str] = set()
+
+
 def workspace(spark: SparkSession) -> str:
-    """Folder that driver and executors share, as named by ``spark.checkpoint.dir``.
+    """The application's own folder below that which ``spark.checkpoint.dir`` names, shared by driver and executors.
 
-    Only where that setting is absent (local tests) a temporary folder is made,
-    and it is recorded in the setting so that later calls agree.
+    It is deleted when the driver's JVM ends.  Only where the setting is absent
+    (local tests) a temporary folder is made, and it is recorded in the setting
+    so that later calls agree.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -22,7 +26,14 @@ def workspace(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    own = f"{folder.rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
+    if own not in _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _MADE.add(own)
+    return own
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
@@ -47,6 +58,13 @@ def remove(*written: DataFrame | str, spark: SparkSession | None = None) -> None
                 where.getFileSystem(session._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def clean(spark: SparkSession) -> None:
+    """Deletes all that this application wrote for itself; results that still read from it can't be read any more."""
+    folder = workspace(spark)
+    remove(folder, spark=spark)
+    _MADE.discard(folder)
+
+
 def worker_cache() -> dict:
     """Dictionary that lives as long as the Python worker process."""
     module = sys.modules.setdefault("_tessera_worker_cache", types.ModuleType("_tessera_worker_cache"))
