@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import set_similarity, shared_spans, tokens
+from tessera.llm import cooccurrence, set_similarity, shared_spans, tokens
 from tessera.functions.baskets import basket_key
 from tessera.llm.cooccurrence import item_pairs
 from tessera.llm.packing import fill_plan, pack, reciprocal_bound
@@ -135,7 +135,10 @@ def test_basket_keys(spark):
     assert keys[:6] == ["20161101-123"] * 6 and keys[6:] == [None, None, None, "20160111-123", "odd", "20161101-0"]
 
 
-def test_pairs_against_brute_force(spark):
+@pytest.mark.parametrize(("listed", "shared"), [(20_000, 2_000), (1, 4)])
+def test_pairs_against_brute_force(spark, monkeypatch, listed, shared):
+    monkeypatch.setattr(cooccurrence, "ITEMS_LISTED", listed)
+    monkeypatch.setattr(cooccurrence, "ITEMS_SHARED", shared)
     draw = random.Random(2)
     rows = [(draw.choice([f"b{i}" for i in range(60)] + ["hot"] * 30), draw.randrange(25) if draw.random() < 0.95 else None) for _ in range(900)]
     rows += rows[:50] + [(None, 1)]
