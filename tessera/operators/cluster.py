@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Materialize = Callable[[DataFrame], DataFrame]
+#: Summaries that are sent to every task at once.
+SUMMARIES_SENT = 10_000
 #: Least variance of a dimension, for clusters without spread.
 LEAST_VARIANCE = 1e-6
 
@@ -41,12 +43,24 @@ def centres(summaries: DataFrame) -> DataFrame:
 def nearest(points: DataFrame, summaries: DataFrame, clusters: int) -> DataFrame:
     """``id, features, cluster, distance``: the nearest cluster by Mahalanobis distance, of equals the least.
 
-    ``clusters`` bounds the number of summaries, a parameter of the method that
-    doesn't grow with the points; they are sent to all tasks as one row.
+    ``clusters`` bounds the number of summaries.  They are sent to all tasks as
+    one row of at most about ``SUMMARIES_SENT``; of more, every block offers its
+    nearest and the best offer counts.  Ids are distinct.
     """
-    if clusters > 10_000:
-        raise ValueError("summaries of so many clusters are too large to send to every task")
-    every = centres(summaries).agg(F.array_sort(F.collect_list(F.struct("cluster", "centre", "variance"))).alias("every"))
+    packed = centres(summaries)
+    blocks = max(1, -(-clusters // SUMMARIES_SENT))
+    if blocks == 1:
+        return _nearest_sent(points, packed)
+    offered = None
+    for i in range(blocks):
+        part = _nearest_sent(points, packed.where(F.pmod(F.xxhash64("cluster"), F.lit(blocks)) == i))
+        offered = part if offered is None else offered.unionByName(part)
+    best = offered.groupBy("id").agg(F.min(F.struct("distance", "cluster")).alias("best"), F.any_value("features").alias("features"))
+    return best.select("id", "features", "best.cluster", "best.distance")
+
+
+def _nearest_sent(points: DataFrame, packed: DataFrame) -> DataFrame:
+    every = packed.agg(F.array_sort(F.collect_list(F.struct("cluster", "centre", "variance"))).alias("every"))
     terms = lambda x, c: F.zip_with(F.zip_with(x, c["centre"], lambda a, b: a - b), c["variance"], lambda d, v: d * d / v)
     distance = lambda x, c: F.sqrt(F.aggregate(terms(x, c), F.lit(0.0), lambda a, t: a + t))
     offers = F.transform(F.col("every"), lambda c: F.struct(distance(F.col("features"), c).alias("distance"), c["cluster"].alias("cluster")))

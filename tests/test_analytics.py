@@ -405,6 +405,15 @@ def test_reservoir_is_uniform(spark):
 # clustering --------------------------------------------------------------------
 
 
+def test_nearest_of_many_summaries(spark, monkeypatch, rows):
+    draw = np.random.default_rng(8)
+    points = spark.createDataFrame([(i, int(i % 12), [float(x) for x in draw.normal(size=2)]) for i in range(120)], "id bigint, label int, features array<double>")
+    stats = cluster.summarize(points, "label")
+    wanted = rows(cluster.nearest(points, stats, 12).select("id", "cluster", F.round("distance", 9)))
+    monkeypatch.setattr(cluster, "SUMMARIES_SENT", 5)
+    assert rows(cluster.nearest(points, stats, 12).select("id", "cluster", F.round("distance", 9))) == wanted
+
+
 def test_clustering(spark):
     draw = np.random.default_rng(1)
     centre = np.array([[0, 0, 0], [30, 0, 0], [0, 30, 30]])
