@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import hashing
 from tessera.functions.baskets import basket_key
-from tessera.operators import cluster, features, graph, itemsets, minhash, overlap, recommend, relational, sketch
+from tessera.operators import adjacency, cluster, features, graph, itemsets, minhash, overlap, recommend, relational, sketch
 from tessera.plans import analytics, mining
 from tessera.session import materialize
 from tessera.sources import readers, sinks
@@ -266,7 +267,10 @@ def brandes(edges):
     return total
 
 
-def test_graph(spark, rows):
+@pytest.mark.parametrize("sent", [1_000_000, 0])
+def test_graph(spark, rows, monkeypatch, sent):
+    monkeypatch.setattr(graph, "EDGES_SENT", sent)
+    monkeypatch.setattr(graph, "CELLS_CUT", min(sent, graph.CELLS_CUT))
     edges = spark.createDataFrame(EDGES, "src string, dst string")
     got = {(r["src"], r["dst"]): r["betweenness"] for r in graph.edge_betweenness(edges, materialize).collect()}
     wanted = brandes(EDGES)
@@ -286,7 +290,9 @@ def test_graph(spark, rows):
     assert lines[0] == "('b', 'd'),12.0"
 
 
-def test_long_chain_and_empty_graph(spark, rows):
+@pytest.mark.parametrize("sent", [1_000_000, 0])
+def test_long_chain_and_empty_graph(spark, rows, monkeypatch, sent):
+    monkeypatch.setattr(graph, "EDGES_SENT", sent)
     names = [f"v{i:03}" for i in range(60)]
     random.Random(1).shuffle(names)
     chain = spark.createDataFrame([(min(a, b), max(a, b)) for a, b in zip(names, names[1:])], "src string, dst string")  # noqa: B905
@@ -337,6 +343,25 @@ def test_graph_queries_share_one_graph(spark, monkeypatch, rows):
     assert {r["vertex"] for r in mining.girvan_newman(spark, "").collect()} == set("abc")
 
 
+def test_small_graphs_against_naive(spark):
+    draw = random.Random(12)
+    for n, m in ((12, 14), (30, 25), (25, 80)):
+        edges = sorted({tuple(sorted(draw.sample([f"v{i:02}" for i in range(n)], 2))) for _ in range(m)})
+        found = adjacency.Graph.of(pa.table({"src": [a for a, _ in edges], "dst": [b for _, b in edges]}))
+        name = {v: v for e in edges for v in e}
+        for _ in name:
+            for a, b in edges:
+                name[a] = name[b] = min(name[a], name[b])
+        assert [found.names[i] for i in found.components()] == [name[v] for v in found.names]
+        label = {v: v for v in name}
+        for _ in range(4):
+            votes = {v: Counter(label[b if a == v else a] for a, b in edges if v in (a, b)) for v in name}
+            label = {v: min(c, key=lambda x: (-c[x], x)) for v, c in votes.items()}
+        assert [found.names[i] for i in found.propagated(4)] == [label[v] for v in found.names]
+        best, most = adjacency.cut_to_the_end(found, None, False, False)
+        assert {v: found.names[i] for v, i in zip(found.names, best, strict=True)} == naive_girvan_newman(edges)[0]
+
+
 def test_modularity_meanings(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d")], "src string, dst string")
     one = spark.createDataFrame([(v, "all") for v in "abcd"], "vertex string, community string")
