@@ -220,7 +220,7 @@ def _window_rows(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 #: Sorted buckets are read in order; a join on the fingerprint and more keeps the buckets of the fingerprint.
 _LAID_OUT = {
     "spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
-    "spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.execution.replaceHashWithSortAgg": "true", "spark.sql.unionOutputPartitioning": "false",
 }
 
