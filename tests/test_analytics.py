@@ -362,6 +362,18 @@ def test_small_graphs_against_naive(spark):
         assert {v: found.names[i] for v, i in zip(found.names, best, strict=True)} == naive_girvan_newman(edges)[0]
 
 
+def test_betweenness_searches_from_one_of_all_twins(spark):
+    draw = random.Random(5)
+    alike = [("hub", f"leaf{i:02}") for i in range(30)] + [(f"in{i:02}", f"in{j:02}") for i in range(12) for j in range(i + 1, 12)] + [(f"in{i:02}", "top") for i in range(12)] + [("hub", "top")]
+    graphs = [alike, *([tuple(sorted(draw.sample("abcdefghij", 2))) for _ in range(m)] for m in (6, 14, 30))]
+    for edges in ([tuple(sorted(e)) for e in {frozenset(e) for e in g}] for g in graphs):
+        got = {(r["src"], r["dst"]): r["betweenness"] for r in graph.edge_betweenness(spark.createDataFrame(edges, "src string, dst string"), materialize).collect()}
+        assert got == {e: pytest.approx(x) for e, x in brandes(edges).items()}
+    # leaves (one and the rest), the hub, the top, the clique
+    folded = adjacency.Folded.of(adjacency.Graph.of(pa.table({"src": [a for a, _ in alike], "dst": [b for _, b in alike]})))
+    assert sorted(folded.size) == [1, 1, 1, 12, 29] and sum(folded.times) == 44
+
+
 def test_modularity_meanings(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d")], "src string, dst string")
     one = spark.createDataFrame([(v, "all") for v in "abcd"], "vertex string, community string")
