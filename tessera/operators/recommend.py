@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.overlap import candidate_pairs, common_elements
+from tessera.operators.overlap import shared_sums
 from tessera.operators.relational import having_count
 
 
@@ -26,12 +26,9 @@ def pearson(ratings: DataFrame, min_ratings: int, more_than: int) -> DataFrame:
     """
     centred = ratings.join(means(ratings, "item").select("item", "mean"), "item").select("user", "item", (F.col("rating") - F.col("mean")).alias("d"))
     rows = having_count(centred, "item", min_ratings).select(F.col("item").alias("name"), F.col("user").alias("element"), "d")
-    shared = common_elements(candidate_pairs(rows.select("name", "element"), more_than + 1), rows, ["d"])
-    sums = shared.groupBy("one", "two").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("d_1") * F.col("d_2")).alias("top"), F.sum(F.col("d_1") * F.col("d_1")).alias("s1"), F.sum(F.col("d_2") * F.col("d_2")).alias("s2"),
-    )
+    sums = shared_sums(rows, more_than + 1, "d")
     similarity = F.try_divide("top", F.sqrt("s1") * F.sqrt("s2"))
-    return sums.where(F.col("n") > more_than).select("one", "two", similarity.alias("similarity")).where(F.col("similarity") > 1e-12)
+    return sums.select("one", "two", similarity.alias("similarity")).where(F.col("similarity") > 1e-12)
 
 
 def collaborative(pairs: DataFrame, ratings: DataFrame, similarities: DataFrame) -> DataFrame:
