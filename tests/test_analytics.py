@@ -195,22 +195,6 @@ def in_blocks(monkeypatch):
         monkeypatch.setattr(overlap, name, n)
 
 
-def test_sums_of_common_values_in_blocks(spark, monkeypatch):
-    in_blocks(monkeypatch)
-    draw = random.Random(9)
-    sets = {n: {e: draw.uniform(-2, 2) for e in sorted(s)} for n, s in random_baskets(6, 40).items()}
-    df = spark.createDataFrame([(n, e, v) for n, s in sets.items() for e, v in s.items()], "name string, element string, d double")
-    got = {(r["one"], r["two"]): tuple(r)[2:] for r in overlap.shared_sums(df, 3, "d").collect()}
-    common = {(a, b): [(sets[a][e], sets[b][e]) for e in sets[a].keys() & sets[b].keys()] for a, b in combinations(sorted(sets), 2)}
-    wanted = {k: (len(x), sum(a * b for a, b in x), sum(a * a for a, _ in x), sum(b * b for _, b in x)) for k, x in common.items() if len(x) >= 3}
-    assert got == {k: pytest.approx(x) for k, x in wanted.items()} and got
-
-
-def in_blocks(monkeypatch):
-    for name, n in (("FEW", 0), ("BLOCK", 40), ("LISTED", 30)):
-        monkeypatch.setattr(overlap, name, n)
-
-
 def test_overlap_in_blocks(spark, monkeypatch):
     in_blocks(monkeypatch)
     sets = random_baskets(6, 40) | {"hot": {f"i{i}" for i in range(12)}}
