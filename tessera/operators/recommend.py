@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.overlap import shared_sums
 from tessera.operators.relational import having_count
+from tessera.session import materialize
 
 
 def means(ratings: DataFrame, key: str) -> DataFrame:
@@ -37,16 +38,22 @@ def collaborative(pairs: DataFrame, ratings: DataFrame, similarities: DataFrame)
     ``weighted`` is the mean of the user's ratings weighted by the similarity of
     their items to ``item``; null where no rated item is similar.
     """
-    pairs = pairs.select("user", "item").distinct()
     both = similarities.select(F.col("one").alias("item"), F.col("two").alias("other"), "similarity")
     both = both.unionByName(similarities.select(F.col("two").alias("item"), F.col("one").alias("other"), "similarity"))
     rated = ratings.select("user", F.col("item").alias("other"), "rating")
-    sums = pairs.join(both, "item").join(rated, ["user", "other"]).groupBy("user", "item").agg(
+    # a pair meets the fewer of the items that are like its own and those that its user rated
+    similar = both.groupBy("item").agg(F.count(F.lit(1)).alias("n_similar"))
+    of_item = means(ratings, "item").select("item", F.col("mean").alias("item_mean")).join(similar, "item", "left")
+    of_user = means(ratings, "user").select("user", F.col("mean").alias("user_mean"), F.col("n").alias("n_rated"))
+    rows = materialize(pairs.select("user", "item").distinct().join(of_user, "user", "left").join(of_item, "item", "left"))
+    some = F.col("n_similar").isNotNull() & F.col("n_rated").isNotNull()
+    asked, meet = rows.where(some), ["user", "item", "rating", "similarity"]
+    by_item = asked.where("n_similar <= n_rated").select("user", "item").join(both, "item").join(rated, ["user", "other"]).select(*meet)
+    by_user = asked.where("n_similar > n_rated").select("user", "item").join(rated, "user").join(both, ["item", "other"]).select(*meet)
+    sums = by_item.unionByName(by_user).groupBy("user", "item").agg(
         F.sum(F.col("rating") * F.col("similarity")).alias("top"), F.sum(F.abs("similarity")).alias("weight"),
     )
-    out = pairs.join(sums, ["user", "item"], "left")
-    for key in ("user", "item"):
-        out = out.join(means(ratings, key).select(key, F.col("mean").alias(f"{key}_mean")), key, "left")
+    out = asked.join(sums, ["user", "item"], "left").unionByName(rows.where(~some), allowMissingColumns=True)
     return out.select("user", "item", "user_mean", "item_mean", F.try_divide("top", "weight").alias("weighted"))
 
 

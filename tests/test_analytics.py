@@ -260,6 +260,20 @@ def test_recommendation(spark):
         assert mixed[u, i] == pytest.approx(weighted if known and weights else 9.0)
 
 
+def test_pairs_meet_the_shorter_of_similar_and_rated_items(spark):
+    similar = [("hot", f"j{k:02}", 0.5 + k / 100) for k in range(40)] + [("a", "b", 0.25)]
+    ratings = {("few", "j01"): 4.0, ("few", "j02"): 1.0, **{("many", f"j{k:02}"): 1.0 + k % 5 for k in range(20)}, ("many", "b"): 5.0, ("none", "hot"): 2.0, ("x", "a"): 3.0}
+    df = spark.createDataFrame([(*k, v) for k, v in ratings.items()], "user string, item string, rating double")
+    pairs = [("few", "hot"), ("many", "hot"), ("many", "a"), ("none", "hot"), ("new", "hot"), ("few", "odd")]
+    found = recommend.collaborative(spark.createDataFrame(pairs, "user string, item string"), df, spark.createDataFrame(similar, "one string, two string, similarity double"))
+    assert "n_similar" in plan(found)
+    got = {(r["user"], r["item"]): r["weighted"] for r in found.collect()}
+    for u, i in pairs:
+        near = [(ratings[u, two if one == i else one], x) for one, two, x in similar if i in (one, two) and (u, two if one == i else one) in ratings]
+        assert got.pop((u, i)) == (pytest.approx(sum(r * x for r, x in near) / sum(x for _, x in near)) if near else None)
+    assert not got
+
+
 # graphs ------------------------------------------------------------------------
 
 EDGES = [("a", "b"), ("a", "c"), ("b", "c"), ("b", "d"), ("d", "e"), ("d", "f"), ("d", "g"), ("e", "f"), ("f", "g"), ("x", "y")]
