@@ -369,6 +369,17 @@ def test_girvan_newman_query_cuts_to_the_end(spark, monkeypatch):
     assert dict(tuple(r) for r in mining.girvan_newman(spark, "").collect()) == best
 
 
+def test_cuts_are_made_with_twins_as_one(spark, monkeypatch):
+    # 8 cliques of 12 on a hub with 60 leaves: vertices times edges are far above the bound, nodes times links are not
+    cliques = [[f"c{i}{j:02}" for j in range(12)] for i in range(8)]
+    edges = [e for c in cliques for e in combinations(c, 2)] + [(c[0], "hub") for c in cliques] + [("hub", f"leaf{i:02}") for i in range(60)]
+    monkeypatch.setattr(graph, "CELLS_CUT", 2_000)
+    monkeypatch.setattr(graph, "components", None)  # the way by jobs
+    best, _ = graph.girvan_newman(spark.createDataFrame(edges, "src string, dst string"), materialize)
+    parts = Counter(r["community"] for r in best.collect())
+    assert all(parts[c[0]] == 12 for c in cliques) and sum(parts.values()) == 157
+
+
 def test_graph_queries_share_one_graph(spark, monkeypatch, rows):
     assert mining.LINK < 9
     # a and b share LINK items, b and c nine
