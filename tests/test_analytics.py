@@ -283,6 +283,15 @@ def test_predict_meets_no_more_than_it_must(spark):
     assert {r["user"]: r["prediction"] for r in found.collect()} == {"u": pytest.approx(3.0), "w": pytest.approx(4.0)}
 
 
+def test_hybrid_meets_no_more_than_it_must(spark):
+    df = spark.createDataFrame([("u", f"j{k}", 1.0 + k % 5) for k in range(9)] + [("w", "j3", 4.0), ("x", "hot", 2.0)], "user string, item string, rating double")
+    similar = spark.createDataFrame([("hot", f"j{k}", 0.5) for k in range(5)], "one string, two string, similarity double")
+    pairs = spark.createDataFrame([("u", "hot"), ("w", "hot")], "user string, item string")
+    found = recommend.hybrid(pairs, df, similar, pairs.select("user", "item", F.lit(9.0).alias("prediction")))
+    assert {"n_similar", "n_rated"} <= {w for w in ("n_similar", "n_rated") if w in plan(found)}
+    assert {r["user"]: r["prediction"] for r in found.collect()} == {"u": pytest.approx(3.0), "w": pytest.approx(4.0)}
+
+
 # graphs ------------------------------------------------------------------------
 
 EDGES = [("a", "b"), ("a", "c"), ("b", "c"), ("b", "d"), ("d", "e"), ("d", "f"), ("d", "g"), ("e", "f"), ("f", "g"), ("x", "y")]
